@@ -9,16 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import exact, lines, sharding
+from citewright.llm import decontam, exact, lines, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_rendezvous": sharding.op3_rendezvous,
+        "op6_bin_completion": packing.op6_bin_completion,
         "op7_exact_dedup": exact.op7_exact_dedup,
+        "op9_wu_manber": decontam.op9_wu_manber,
         "op10_line_dedup": lines.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact.ORACLE, "op10_line_dedup": lines.ORACLE}
+    return {"op7_exact_dedup": exact.ORACLE, "op9_wu_manber": decontam.ORACLE, "op10_line_dedup": lines.ORACLE}

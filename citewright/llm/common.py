@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Byte limit of one Arrow batch sent to a Python worker, so that a few long texts never meet in one batch.
 BATCH_BYTES = "16777216"
@@ -49,3 +52,36 @@ def text_of(column: str) -> Column:
 def remainder(key: str, divisor: int) -> Column:
     """crc32 of the key as text, modulo the divisor; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def map_batches(df: DataFrame, keep: list[str], inputs: list[Column], fields: str, start) -> DataFrame:
+    """The columns ``keep`` of df, and ``fields`` (DDL) as ``start()(*inputs)`` computes them.
+
+    ``start`` is called once in a task; what it returns gets Arrow arrays of the
+    inputs, batch by batch, and returns one array for each field.
+    """
+    prepare(df.sparkSession)
+    source = df.select([F.col(f"`{c}`") for c in keep] + [c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    added = StructType.fromDDL(fields)
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    schema = StructType([source.schema[i] for i in range(len(keep))] + list(added))
+    names, n = schema.names, len(keep)
+
+    def run(batches):
+        made = start()
+        for b in batches:
+            if b.num_rows:
+                new = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made(*b.columns[n:]), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names)
+
+    return source.mapInArrow(run, schema)
+
+
+def as_bytes(texts: pa.Array) -> list[bytes]:
+    """UTF-8 of each text; null counts as empty."""
+    return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+
+
+def lowered_words(text: bytes) -> list[bytes]:
+    """Words between [\\x20\\x09-\\x0D], A-Z lower-cased: what bytes.lower() and split() do."""
+    return text.lower().split()
