@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, exact, html, lines, packing, quality, sharding
+from citewright.llm import decontam, exact, html, lines, minhash, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_factorisation_machine": quality.op1_factorisation_machine,
+        "op2_minhash": minhash.op2_minhash,
         "op3_rendezvous": sharding.op3_rendezvous,
         "op5_block_tree": html.op5_block_tree,
         "op6_bin_completion": packing.op6_bin_completion,

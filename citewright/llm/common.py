@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,3 +88,38 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
 def lowered_words(text: bytes) -> list[bytes]:
     """Words between [\\x20\\x09-\\x0D], A-Z lower-cased: what bytes.lower() and split() do."""
     return text.lower().split()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, deleted when this process ends."""
+    prepare(spark)
+    context = spark.sparkContext
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    jvm_path = context._jvm.org.apache.hadoop.fs.Path(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and its folders with it
+            jvm_path.getFileSystem(context._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+    atexit.register(remove)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as Parquet in the shared folder: lineage ends, and later reads take only their columns."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to aggregates of them, one for each value of ``on``; ``size`` is a group's number of rows.
+
+    Groups of a thousandth of the rows or more, of which there are at most a
+    thousand, are broadcast, so that no task gets all rows of one. Both inputs are
+    read twice and should be stored.
+    """
+    hot = F.col(size) * 1000 >= total
+    marked = rows.join(F.broadcast(groups.filter(hot)), on, "left")
+    rest = marked.filter(F.col(size).isNull()).select(rows.columns).join(groups.filter(~hot), on)
+    return marked.filter(F.col(size).isNotNull()).unionByName(rest)
