@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, exact, html, lines, minhash, packing, quality, sharding
+from citewright.llm import decontam, exact, html, lines, lm, minhash, packing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_factorisation_machine": quality.op1_factorisation_machine,
         "op2_minhash": minhash.op2_minhash,
         "op3_rendezvous": sharding.op3_rendezvous,
+        "op4_context_mixing": lm.op4_context_mixing,
         "op5_block_tree": html.op5_block_tree,
         "op6_bin_completion": packing.op6_bin_completion,
         "op7_exact_dedup": exact.op7_exact_dedup,
