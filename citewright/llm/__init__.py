@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewright.llm import decontam, exact, html, lines, lm, minhash, packing, quality, sharding
+from citewright.llm import decontam, exact, html, lines, lm, minhash, packing, quality, sharding, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_block_tree": html.op5_block_tree,
         "op6_bin_completion": packing.op6_bin_completion,
         "op7_exact_dedup": exact.op7_exact_dedup,
+        "op8_suffix_array": suffix.op8_suffix_array,
         "op9_wu_manber": decontam.op9_wu_manber,
         "op10_line_dedup": lines.op10_line_dedup,
     }

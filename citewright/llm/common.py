@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, and see that a checkpoint folder is set.
+    """Bound Arrow batches by bytes, let shuffle files go early, and see that a checkpoint folder is set.
 
     On a cluster the folder comes from ``spark.checkpoint.dir``; a local one is
     made only where that is unset and the session runs inside one JVM.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # shuffle files go when the job that wrote them ends; what is read again is stored or checkpointed
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
