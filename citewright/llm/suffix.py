@@ -190,8 +190,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, s, lms, k)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the length (``most`` at most) of the prefix that its suffix shares with the one before it in the array.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, wall: int = -1) -> np.ndarray:
+    """For each position, the length of the prefix that its suffix shares with the one before it in the array, up to the symbol ``wall``.
 
     Only irreducible values, where the symbols before the two suffixes differ, are
     compared; the next position's value is one less as long as they agree.
@@ -200,17 +200,15 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     at = np.arange(n)
-    irreducible = (before < 0) | (at == 0) | (before == 0) | (t[at - 1] != t[before - 1])
+    irreducible = (before < 0) | (at == 0) | (before == 0) | (t[at - 1] != t[before - 1]) | (t[at - 1] == wall)
     i = np.flatnonzero(irreducible)
     j = before[i]
     length = np.zeros(len(i), np.int64)
     alive = np.flatnonzero(j >= 0)
-    padded = np.concatenate([t, np.full(most + 1, -1, t.dtype)])
     while len(alive):
-        equal = padded[i[alive] + length[alive]] == padded[j[alive] + length[alive]]
-        alive = alive[equal]
+        x = t[i[alive] + length[alive]]
+        alive = alive[(x == t[j[alive] + length[alive]]) & (x != wall)]
         length[alive] += 1
-        alive = alive[length[alive] < 2 * most]
         alive = alive[np.maximum(i[alive], j[alive]) + length[alive] < n]
     group = np.cumsum(irreducible) - 1
     return np.maximum(length[group] - (at - i[group]), 0)
@@ -227,7 +225,7 @@ def later_occurrences(contexts: list[bytes], docs: np.ndarray, starts: np.ndarra
     inner = np.arange(total) - first[owner]
     t[:-1][inner < sizes[owner]] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 2
     sa = suffix_array(t)
-    shared = permuted_prefixes(t, sa, length)
+    shared = permuted_prefixes(t, sa, wall=1)
     sa = sa[1:]
     linked = shared[sa] >= length
     whole = inner[sa] + length <= sizes[owner[sa]]
