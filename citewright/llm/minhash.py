@@ -5,10 +5,11 @@
 3. Classes that agree in all minima of a band share a bucket; each is paired with the
    bucket's smallest. Pairs whose signatures agree enough are confirmed on full sets.
 4. Links become components by alternating large-star and small-star steps.
-5. Where a bucket still holds several components, members outside the largest propose
-   their most similar partners in others, in waves that leave none out, until no pair
-   that the signatures allow stays untested. So large groups need about one pair for
-   each member, and no link that the bands can show is lost.
+5. Where a bucket still holds several components, members outside its largest are
+   compared to all members of the others that their signatures allow: first a few of
+   the likeliest as pairs, then the rest inside the bucket, block by block, where only
+   links that join components come out. So no link that the bands show is lost, and no
+   step makes rows for all pairs of a group.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ BANDS, ROWS = 32, 4
 #: A pair is confirmed on full sets if so large a share of the minima agree. At a similarity
 #: of 0.75 the share is below this less than once in a million pairs.
 ESTIMATE = 0.55
-#: Partners proposed by a member in each wave, counted over all before; the last has no bound.
-WAVES = (8, 64, 1 << 62)
-BLOCK = 4096
+#: Likeliest partners of a member that are tried as pairs.
+LIKELIEST = 4
+#: Members of a bucket, beside those that ask for partners, in one task.
+BLOCK = 1024
 RESULTS = ("n_shingles", "component_id", "kept")
 
 _rng = np.random.default_rng(20_240_501)
@@ -146,42 +148,86 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(v.alias("key"), v.alias("component")).distinct())
 
 
-def _proposals(members: DataFrame, after: int, upto: int) -> DataFrame:
-    """(a, b) and whether there are ``more``: partners of rank (after, upto] for members outside a bucket's largest component.
-
-    A large bucket is dealt in blocks: each member to be partnered meets every
-    block in a task of its own, and ranks hold within a block.
-    """
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (h, rep, component, ...) by (h, block), once as they stand and, if outside the bucket's largest component, once more in every block to ask for partners."""
     sizes = members.groupBy("h", "component").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(buckets, "h").withColumn("blocks", blocks)
+    rows = members.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     inside = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), "blocks").cast("int"), "asks": F.lit(False)})
     asking = rows.filter("component != main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    return inside.unionByName(asking).drop("main", "n", "blocks")
+
+
+def _candidates(dealt: DataFrame) -> DataFrame:
+    """(h, block, rep, asks, a, b): members with a partner in another component that the signatures allow.
+
+    A pair counts in the first band that it shares only. (a, b) are some of the
+    likeliest pairs; other rows have nulls there.
+    """
 
-    def propose(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        rep, comp = t["rep"].to_numpy(), t["component"].to_numpy()
+    def find(t: pa.Table) -> pa.Table:
+        rep, comp, asks = (t[c].to_numpy() for c in ("rep", "component", "asks"))
+        h, block = t["h"][0].as_py(), t["block"][0].as_py()
         sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint16).reshape(len(rep), -1)
-        asks = t["asks"].to_numpy()
-        a, b, more = [], [], False
-        there, who = np.flatnonzero(~asks), np.flatnonzero(asks)
-        for x in who:
-            share = (sig[there] == sig[x]).mean(axis=1)
-            rank = there[np.argsort(-share, kind="stable")][: int((share >= ESTIMATE).sum())]
-            rank = rank[rep[rank] != rep[x]]
-            more |= len(rank) > upto
-            for y in rank[after:upto]:
-                if comp[y] != comp[x]:
+        bands = t["bands"].combine_chunks().values.to_numpy().reshape(len(rep), BANDS)
+        there, needed, pairs = np.flatnonzero(~asks), np.zeros(len(rep), bool), []
+        for x in np.flatnonzero(asks):
+            others = there[comp[there] != comp[x]]
+            share = (sig[others] == sig[x]).mean(axis=1)
+            others, share = others[share >= ESTIMATE], share[share >= ESTIMATE]
+            shared = bands[others] == bands[x]
+            first = shared.argmax(axis=1)
+            here = bands[others, first] == h
+            others, share = others[here], share[here]
+            if len(others):
+                needed[x] = needed[others] = True
+                likely = others[np.lexsort([rep[others], -share])[:LIKELIEST]]
+                pairs += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in likely]
+        i = np.flatnonzero(needed)
+        n, k = len(i), len(pairs)
+        none = [None]
+        return pa.table(
+            [
+                pa.array([h] * (n + k), pa.int64()), pa.array([block] * (n + k), pa.int32()), pa.array([*rep[i].tolist(), *none * k], pa.int64()), pa.array([*asks[i].tolist(), *none * k], pa.bool_()),
+                pa.array([*none * n, *(int(x) for x, _ in pairs)], pa.int64()), pa.array([*none * n, *(int(y) for _, y in pairs)], pa.int64()),
+            ],
+            ["h", "block", "rep", "asks", "a", "b"],
+        )
+
+    return dealt.groupBy("h", "block").applyInArrow(find, "h bigint, block int, rep bigint, asks boolean, a bigint, b bigint")
+
+
+def _joining_links(members: DataFrame, percent: int) -> DataFrame:
+    """members (h, block, rep, asks, component, text): links (a, b) on full sets between different components, as many as join them."""
+
+    def join(t: pa.Table) -> pa.Table:
+        rep, comp, asks = t["rep"].to_numpy(), t["component"].to_pylist(), t["asks"].to_numpy()
+        sets = [shingles(lowered_words(x)) for x in as_bytes(t["text"].combine_chunks())]
+        sizes = np.array([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        mark = np.zeros(len(ids), np.int32)
+        root = {c: c for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        a, b = [], []
+        for x in np.flatnonzero(asks):
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[ids], starts)
+            mark[own] = 0
+            for y in np.flatnonzero(100 * common >= percent * (sizes + sizes[x] - common)):
+                if (cx := find(comp[x])) != (cy := find(comp[y])):
+                    root[max(cx, cy)] = min(cx, cy)
                     a.append(min(rep[x], rep[y]))
                     b.append(max(rep[x], rep[y]))
-        if more:
-            a.append(-1), b.append(-1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array([x == y for x, y in zip(a, b, strict=True)], pa.bool_())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    columns = ["h", "block", "rep", "component", "signature", "asks"]
-    dealt = inside.select(columns).unionByName(asking.select(columns))
-    return dealt.groupBy("h", "block").applyInArrow(propose, "a bigint, b bigint, more boolean")
+    return members.groupBy("h", "block").applyInArrow(join, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75) -> DataFrame:
@@ -215,25 +261,34 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     texts = stored(named.join(star.select("rep").distinct(), F.col("key") == F.col("rep"), "left_semi"))
     pairs = _agreeing(star.filter("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), signature)
     links = stored(confirm(pairs, texts, percent))
-    after = 0
-    for upto in WAVES:
+    found = stored(components(links))
+    members = _mixed(star, found, reps)
+    if members.take(1):
+        near = stored(_candidates(_dealt(members)))
+        links = stored(links.unionByName(confirm(near.filter("a is not null").select("a", "b").distinct(), texts, percent)))
         found = stored(components(links))
-        named = star.join(found.select(F.col("key").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = stored(named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h"))
-        if not mixed.take(1):
-            break
-        members = named.join(mixed, "h", "left_semi").join(signature, "rep").select("h", "rep", "component", "signature")
-        proposed = stored(_proposals(members, after, upto))
-        new = stored(confirm(proposed.filter("not more").select("a", "b").distinct(), texts, percent))
-        links = stored(links.unionByName(new))
-        if not proposed.filter("more").take(1) and not new.take(1):
-            break
-        after = upto
-    else:
+        asked = near.filter("rep is not null").select("h", "block", "rep", "asks")
+        named = _named(asked, found)
+        several = named.groupBy("h", "block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h", "block")
+        open_ = named.join(several, ["h", "block"], "left_semi").join(texts.withColumnRenamed("key", "rep"), "rep")
+        links = stored(links.unionByName(_joining_links(open_.select("h", "block", "rep", "asks", "component", "text"), percent)))
         found = stored(components(links))
     return _result(df, rows, member, found, key)
 
 
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (rep, ...) with the component of each rep."""
+    named = rows.join(found.select(F.col("key").alias("rep"), "component"), "rep", "left")
+    return named.withColumn("component", F.coalesce("component", "rep"))
+
+
+def _mixed(star: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(h, rep, component, signature, bands) of the members of buckets with several components."""
+    named = stored(_named(star.select("h", "rep"), found))
+    mixed = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("h")
+    return stored(named.join(mixed, "h", "left_semi").join(reps, "rep").select("h", "rep", "component", "signature", "bands"))
+
+
 def _result(df: DataFrame, rows: DataFrame, member: DataFrame, found: DataFrame, key: str) -> DataFrame:
     named = member.join(found.select(F.col("key").alias("rep"), "component"), "rep", "left")
     named = named.groupBy("key").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
