@@ -92,29 +92,45 @@ def plain(pattern: str) -> str:
     return "".join(c for c in d if not unicodedata.combining(c))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def of_text(question: Column, rule) -> Column:
+    """rule(x) on the cleaned question: x.low in lower case, x.bare also without accents."""
+    return let(T.clean_query(question), lambda q: let(F.struct(F.lower(q).alias("low"), T.strip_latin(q).alias("bare")), rule))
+
+
+def holds(x: Column, pattern: str) -> Column:
+    return F.when(x["low"] != x["bare"], x["low"].rlike(f"(?U){pattern}")).otherwise(x["bare"].rlike(f"(?U){plain(pattern)}"))
+
+
 def found(question: Column, pattern: str) -> Column:
-    q = T.clean_query(question)
-    return F.when(T.has_diacritics(q), F.lower(q).rlike(f"(?U){pattern}")).otherwise(T.strip_latin(q).rlike(f"(?U){plain(pattern)}"))
+    return of_text(question, lambda x: holds(x, pattern))
 
 
-def _first(question: Column, named) -> Column:
+def _first(x: Column, named) -> Column:
     out = None
     for name, pattern in named:
-        hit = found(question, pattern)
+        hit = holds(x, pattern)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out
 
 
+def _content(x: Column) -> Column:
+    accented = T.content(T.tokens(x["low"]), tuple(STOPWORDS))
+    stripped = T.content(T.tokens(x["bare"]), tuple(sorted({plain(w) for w in STOPWORDS} - set(PLAIN_EXCEPTIONS))))
+    return F.when(x["low"] != x["bare"], F.transform(accented, T.strip_latin)).otherwise(stripped)
+
+
 def content_syllables(question: Column) -> Column:
     """Content words, stripped: the stop list applies with accents if the text has any."""
-    q = T.clean_query(question)
-    accented = T.content(T.tokens(q), tuple(STOPWORDS))
-    stripped = T.content(T.syllables(q), tuple(sorted({plain(w) for w in STOPWORDS} - set(PLAIN_EXCEPTIONS))))
-    return F.when(T.has_diacritics(q), F.transform(accented, T.strip_latin)).otherwise(stripped)
+    return of_text(question, _content)
 
 
 def expected_type(question: Column) -> Column:
-    return _first(question, [(name, ask) for name, ask, _ in ANSWER_TYPES])
+    return of_text(question, lambda x: _first(x, [(name, ask) for name, ask, _ in ANSWER_TYPES]))
 
 
 def _holds(pattern: str):
@@ -129,19 +145,25 @@ def has_evidence(kind: Column, texts: Column) -> Column:
     return out
 
 
+def _procedures(x: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(holds(x, rf"\b(?:{p})"), F.lit(name)) for name, p in PROCEDURES]))
+
+
 def procedures(text: Column) -> Column:
     """Names of all procedures mentioned, in the order of the list."""
-    named = [F.when(found(F.coalesce(text, F.lit("")), rf"\b(?:{p})"), F.lit(name)) for name, p in PROCEDURES]
-    return F.array_compact(F.array(*named))
+    return of_text(text, _procedures)
+
+
+def _bare(x: Column) -> Column:
+    return (F.size(_procedures(x)) == 1) & (F.size(_content(x)) <= 4) & ~holds(x, QUESTION_WORD)
 
 
 def is_bare_procedure(question: Column) -> Column:
-    return (F.size(procedures(question)) == 1) & (F.size(content_syllables(question)) <= 4) & ~found(question, QUESTION_WORD)
+    return of_text(question, _bare)
 
 
 def aspect(question: Column) -> Column:
-    documents = found(question, DOCUMENTS) | is_bare_procedure(question)
-    return F.when(found(question, PROCESSING_TIME), "thoi_gian_giai_quyet").when(documents, "ho_so").when(found(question, LATE), "lam_muon")
+    return of_text(question, lambda x: F.when(holds(x, PROCESSING_TIME), "thoi_gian_giai_quyet").when(holds(x, DOCUMENTS) | _bare(x), "ho_so").when(holds(x, LATE), "lam_muon"))
 
 
 def answers_aspect(aspect_: Column, text: Column) -> Column:
@@ -157,11 +179,10 @@ def topic(*titles: Column) -> Column:
 
 
 def is_underspecified(question: Column, most: int = 5) -> Column:
-    return (F.size(procedures(question)) == 0) & (F.size(content_syllables(question)) <= most)
+    return of_text(question, lambda x: (F.size(_procedures(x)) == 0) & (F.size(_content(x)) <= most))
 
 
 def out_of_scope(question: Column) -> Column:
     """The field that a question belongs to, if it is none of ours; null otherwise."""
     border = lambda named: [(name, rf"\b(?:{p})") for name, p in named]
-    always = _first(question, border(OUT_OF_SCOPE_ALWAYS))
-    return F.coalesce(always, F.when(~found(question, IN_SCOPE_NAMES), _first(question, border(OUT_OF_SCOPE))))
+    return of_text(question, lambda x: F.coalesce(_first(x, border(OUT_OF_SCOPE_ALWAYS)), F.when(~holds(x, IN_SCOPE_NAMES), _first(x, border(OUT_OF_SCOPE)))))

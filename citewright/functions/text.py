@@ -66,12 +66,12 @@ def strip_accents(text: pd.Series) -> pd.Series:
     return text.map(plain)
 
 
-#: Letters of the Latin languages that strip_latin folds, and what they become.
-_FOLDED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+#: Latin letters with marks that strip_latin folds, and what they become.
+_FOLDED = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1]
 
 
 def strip_latin(text: Column) -> Column:
-    """The same in the JVM for NFC text of Latin letters up to U+024F: one translate."""
+    """The same in the JVM for NFC text of Latin letters: one translate."""
     lowered = F.translate(F.lower(text), "".join(a for a, _ in _FOLDED), "".join(b for _, b in _FOLDED))
     return F.translate(F.lower(lowered), "đ", "d")
 
@@ -147,11 +147,11 @@ def ngrams(words: Column, least: int = 1, most: int = 2) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines that are not blank, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(name: Column) -> Column:

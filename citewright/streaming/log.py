@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
     """Parquet files of events as they arrive."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "30 minutes", time: str = "ts", kind: str = "event_type") -> DataFrame:
