@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +33,57 @@ from citewright.llm.common import as_bytes, lowered_words, map_batches, remainde
 #: The end, which no word equals.
 END = b"\n"
 KINDS = 8
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 RANK_BITS = 16
 HEAD = 1 << RANK_BITS
 #: Rarer words are spelled, so that spelling is learned from words like those not seen yet.
 HEAD_LEAST = 5
 SLOT_BITS = 20
 #: Bytes of the word before a bit that its predictors see, and which of them see the kind of text too.
-ORDERS, WITH_KIND = (2, 3, 4, 12), (2, 12)
+ORDERS, WITH_KIND = (2, 4, 12), (2, 12)
 PREDICTORS = len(ORDERS)
 CHUNKS = 32
+#: Bytes of text scored together, and rare words whose probability a task remembers.
+BLOCK_BYTES, REMEMBERED = 1 << 21, 400_000
 _SLOTS = 1 << SLOT_BITS
 _PRIOR = 0.4
 _BUCKETS = 33
+_STEPS = 32
 _GATES = 16
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-def kind_after(word: bytes, kind: int) -> int:
-    """The kind of text once a word is read: it follows the last word's first character above ASCII, 0 before any."""
-    if word.isascii():
-        return kind
-    for i, b in enumerate(word):
-        if b > 127:
-            return 1 + (b * 31 + (word[i + 1] if i + 1 < len(word) else 0)) % (KINDS - 1)
+#: Kinds of the words above ASCII met so far in this process.
+_KINDS: dict[bytes, int] = {}
+
+
+def kind_of(word: bytes) -> int:
+    """The kind of text that a word shows by its first character above ASCII; it has one."""
+    kind = _KINDS.get(word)
+    if kind is None:
+        i = next(i for i, b in enumerate(word) if b > 127)
+        kind = 1 + (word[i] * 31 + (word[i + 1] if i + 1 < len(word) else 0)) % (KINDS - 1)
+        if len(_KINDS) > 200_000:
+            _KINDS.clear()
+        _KINDS[word] = kind
     return kind
 
 
+def kind_spans(text: bytes, words: list[bytes]) -> list[tuple[int, int]]:
+    """(end, kind) of runs of words that follow texts of one kind; the last run ends after the last word, before the end.
+
+    The kind is that of the last word above ASCII so far, 0 before any.
+    """
+    spans, kind = [], 0
+    if not text.isascii():
+        for i, w in [(i, w) for i, w in enumerate(words) if not w.isascii()]:
+            if (new := kind_of(w)) != kind:
+                spans.append((i + 1, kind))
+                kind = new
+    return [*spans, (len(words), kind)]
+
+
 def prefix_code(counts: list[int]) -> list[str]:
     """A Huffman code for symbols of such counts, each at least 1."""
     heap = [(c, i, (i,)) for i, c in enumerate(counts)]
@@ -99,7 +124,7 @@ class Coder:
     def flags(self, known: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = kinds.astype(np.uint64) + _U(1)
         zero = np.zeros(len(kinds), np.uint64)
-        return self._slots([zero, kind, zero, kind], zero, 0), known.astype(np.uint8)
+        return self._slots([kind, zero, kind], zero, 0), known.astype(np.uint8)
 
     def ranked(self, ranks: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, slots, bits) of the bits of each rank, the highest first."""
@@ -108,7 +133,7 @@ class Coder:
         bits = ((ranks.astype(np.int64)[:, None] >> np.arange(RANK_BITS - 1, -1, -1)) & 1).astype(np.uint8).ravel()
         kind = np.repeat(kinds.astype(np.uint64) + _U(1), RANK_BITS)
         zero = np.zeros(len(nodes), np.uint64)
-        return np.repeat(np.arange(len(ranks)), RANK_BITS), self._slots([zero, kind, zero, kind], nodes, 1), bits
+        return np.repeat(np.arange(len(ranks)), RANK_BITS), self._slots([kind, zero, kind], nodes, 1), bits
 
     def spelled(self, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, slots, bits) of the words' bytes and terminators; contexts are the last bytes of the word."""
@@ -137,9 +162,9 @@ class Coder:
         slots, bits = self.flags(ranks >= 0, kinds)
         yield np.arange(len(words)), slots, bits, 0
         known, rest = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
-        if len(known):
-            owner, slots, bits = self.ranked(ranks[known], kinds[known])
-            yield known[owner], slots, bits, 0
+        for block in np.array_split(known, -(-len(known) // 4096)) if len(known) else ():
+            owner, slots, bits = self.ranked(ranks[block], kinds[block])
+            yield block[owner], slots, bits, 0
         for block in np.array_split(rest, max(1, len(rest) // 4096)) if len(rest) else ():
             owner, slots, bits = self.spelled([words[i] for i in block], kinds[block])
             yield block[owner], slots, bits, 1
@@ -156,13 +181,19 @@ class Mixer:
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Mixer:
-        start = np.array([0.1, 0.2, 0.3, 0.4, 0], np.float32)
+        start = np.array([0.2, 0.3, 0.5, 0], np.float32)
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - 16) / 2.0))
         return cls(counts, np.tile(start[:, None], (1, _GATES)), np.tile(centre * 2, _GATES), np.full(_GATES * _BUCKETS, 2.0))
 
     def copy(self) -> Mixer:
         return Mixer(self.counts, self.weights.copy(), np.zeros_like(self.ones), np.zeros_like(self.total))
 
+    def frozen(self) -> Mixer:
+        """For prediction only: without the counts."""
+        out = Mixer(np.empty(0), self.weights, self.ones, self.total)
+        out.__dict__.update(stretch=self.stretch, gate_of=self.gate_of, bit_log_table=self.bit_log_table)
+        return out
+
     @cached_property
     def stretch(self) -> np.ndarray:
         return np.log((self.counts[:, :, 1] + _PRIOR) / (self.counts[:, :, 0] + _PRIOR))
@@ -185,12 +216,22 @@ class Mixer:
     def cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return gate * _BUCKETS + np.clip(np.rint(z * 2).astype(np.int64) + 16, 0, _BUCKETS - 1)
 
+    @cached_property
+    def bit_log_table(self) -> np.ndarray:
+        """log2 of the probability of a bit, by gate, mix in steps of 1 / _STEPS, and bit: half mix, half map."""
+        z = np.arange(-14 * _STEPS, 14 * _STEPS + 1) / _STEPS
+        gate = np.repeat(np.arange(_GATES), len(z))
+        mapped = (self.ones / self.total)[self.cell(np.tile(z, _GATES), gate)]
+        p = np.clip(0.5 / (1 + np.exp(-np.tile(z, _GATES))) + 0.5 * mapped, 1e-6, 1 - 1e-6)
+        return np.log2(np.stack([1 - p, p], axis=1)).ravel()
+
     def bit_logs(self, slots: np.ndarray, bits: np.ndarray, phase: int) -> np.ndarray:
-        """log2 of the probability of each bit: half mix, half map."""
-        gate = self.gate_of[slots[-1]].astype(np.int64) + 8 * phase
+        """log2 of the probability of each bit; a mix counts to the next step."""
+        gate = self.gate_of[slots[-1]].astype(np.int32) + np.int32(8 * phase)
         z = self.mix([self.stretch[k][slots[k]] for k in range(PREDICTORS)], gate)
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * (self.ones / self.total)[self.cell(z, gate)]
-        return np.log2(np.clip(np.where(bits, p, 1 - p), 1e-6, 1))
+        z *= _STEPS
+        at = np.rint(z, out=z).astype(np.int32) + np.int32(14 * _STEPS)
+        return self.bit_log_table[((gate * np.int32(28 * _STEPS + 1) + at) << 1) + bits]
 
     def learn(self, slots: np.ndarray, bits: np.ndarray, weight: np.ndarray, phase: int, squares: np.ndarray, rate: float = 0.05) -> None:
         """Online: predict a block of bits, then move the weights and the map by it.
@@ -228,25 +269,21 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, c, k0 ...): how often each token occurs, and after which kinds of text."""
 
     def run(batches):
-        held: Counter = Counter()
+        held = [Counter() for _ in range(KINDS)]
 
         def rows():
-            words, kinds = zip(*held, strict=True) if held else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(held.values(), pa.int64())], ["word", "kind", "n"])
-            held.clear()
+            for kind, counted in enumerate(held):
+                yield pa.RecordBatch.from_arrays([pa.array(counted, pa.binary()), pa.array([kind] * len(counted), pa.int32()), pa.array(counted.values(), pa.int64())], ["word", "kind", "n"])
+                counted.clear()
 
         for batch in batches:
             for t in as_bytes(batch.column(0)):
-                words = lowered_words(t)
-                kind, begun = 0, 0
-                if not t.isascii():
-                    for i, w in enumerate(words):
-                        if not w.isascii() and (new := kind_after(w, kind)) != kind:
-                            held.update((x, kind) for x in words[begun : i + 1])
-                            kind, begun = new, i + 1
-                held.update((x, kind) for x in words[begun:])
-                held[END, kind] += 1
-                if len(held) > 400_000:
+                words, begun = lowered_words(t), 0
+                for end, kind in kind_spans(t, words):
+                    held[kind].update(words[begun:end])
+                    begun = end
+                held[kind][END] += 1
+                if sum(map(len, held)) > 400_000:
                     yield from rows()
         yield from rows()
 
@@ -258,11 +295,11 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 @dataclass
 class Model:
     counts: DataFrame  # word, c: all training tokens
-    head: dict[bytes, int]  # the most frequent: count
     train_tokens: int
     distinct: int
     coder: Coder
     mixer: Mixer
+    head_gains: np.ndarray  # of each rank: log10(c + 1)
     head_logs: np.ndarray  # rank x kind: log2 of the probability
 
 
@@ -309,7 +346,7 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     kind = "chunk int, n binary"
     found = np.zeros(PREDICTORS * _SLOTS * 2, np.float32)
     size = found.size // CHUNKS
-    for r in counts.select(columns).mapInArrow(count_bits, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).toLocalIterator():
+    for r in counts.select(columns).mapInArrow(count_bits, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).collect():  # the tables, of fixed size
         found[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.float32)
     mixer = Mixer.of(found.reshape(PREDICTORS, _SLOTS, 2))
     begun = spark.sparkContext.broadcast(mixer)
@@ -328,7 +365,12 @@ def learn(df: DataFrame, text: str = "text") -> Model:
             yield pa.RecordBatch.from_pydict({"x": pa.array([np.concatenate([a.ravel() for a in row]).tobytes()], pa.binary())})
 
     seen, weights = np.zeros(_GATES), np.zeros(mixer.weights.shape)
-    for r in counts.select(columns).mapInArrow(online, "x binary").toLocalIterator():  # 10 KB from each task
+    def total(batches):
+        x = sum(np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist())
+        if not isinstance(x, int):
+            yield pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary())})
+
+    for r in counts.select(columns).mapInArrow(online, "x binary").repartition(8).mapInArrow(total, "x binary").collect():  # 8 rows of 10 KB
         x = np.frombuffer(r["x"])
         w, s, ones, total = np.split(x, np.cumsum([weights.size, _GATES, mixer.ones.size]))
         weights += w.reshape(weights.shape)
@@ -337,7 +379,7 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     mixer.weights = np.where(seen > 0, weights / np.maximum(seen, 1e-9), mixer.weights).astype(np.float32)
     words = [bytes(r[0]) for r in top]
     logs = np.stack([mixer.token_logs(coder, words, np.full(len(words), k)) for k in range(KINDS)], axis=1) if words else np.zeros((0, KINDS))
-    return Model(counts.select("word", "c"), {bytes(r[0]): r[1] for r in top}, int(tokens), int(distinct), coder, mixer, logs.astype(np.float32))
+    return Model(counts.select("word", "c"), int(tokens), int(distinct), coder, mixer, np.log10([r[1] + 1.0 for r in top]), logs)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -345,64 +387,69 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
     A null text counts as empty: its only token is the end. ``score`` is the model's
     log10 probability of the tokens, ``base_score`` that of the add-one word counts;
-    bits_per_byte is null where there is no byte. Each text is scored whole and by itself.
+    bits_per_byte is null where there is no byte. Each text is scored whole and by itself. Input
+    columns named like a result are replaced.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer, model.head, model.head_logs))
+    keep = [c for c in (df.columns if keep is None else keep) if c != text and c.lower() not in RESULTS]
+    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer.frozen(), model.head_gains, model.head_logs))
 
     def start():
-        coder, mixer, head, head_logs = shared.value
+        coder, mixer, gains, head_logs = shared.value
+        rank, memo = coder.rank.get, {}
+
+        def tail_logs(keys: list[tuple[bytes, int]]) -> list[float]:
+            """log2 of the probability of each (word, kind), each worked out once while remembered."""
+            if len(memo) > REMEMBERED:
+                memo.clear()
+            new = list({k: None for k in keys if k not in memo})
+            if new:
+                memo.update(zip(new, mixer.token_logs(coder, [w for w, _ in new], np.array([k for _, k in new])).tolist(), strict=True))
+            return [memo[k] for k in keys]
+
+        def block(texts: list[bytes]) -> list:
+            words: list[bytes] = []
+            sizes, run_sizes, run_kinds = [], [], []
+            for t in texts:
+                own, begun = lowered_words(t), 0
+                for end, kind in kind_spans(t, own):
+                    run_sizes.append(end - begun)
+                    run_kinds.append(kind)
+                    begun = end
+                run_sizes[-1] += 1
+                words += own
+                words.append(END)
+                sizes.append(len(own) + 1)
+            ids = np.fromiter(map(rank, words, repeat(-1)), np.int32, len(words))
+            kinds = np.repeat(np.array(run_kinds), run_sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            head = ids >= 0
+            known = np.bincount(doc[head], minlength=len(sizes))
+            base = np.bincount(doc[head], gains[ids[head]], len(sizes))
+            logs = np.bincount(doc[head], head_logs[ids[head], kinds[head]], len(sizes))
+            rare, at = list(compress(words, ~head)), np.flatnonzero(~head)
+            logs = logs + np.bincount(doc[at], tail_logs(list(zip(rare, kinds[at].tolist(), strict=True))), len(sizes))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(sizes)))])
+            rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))
+            return [pa.array(x) for x in (np.array(sizes), known, base, logs, np.array([len(t) for t in texts]))] + [rare_of]
 
         def run(texts: pa.Array):
-            out: list[list] = [[], [], [], [], []]
-            rare_words, rare_counts, ends = [], [], [0]
-            pairs: dict[tuple[bytes, int], int] = {}
-            who, which, times = [], [], []
-            for i, t in enumerate(as_bytes(texts)):
-                words = lowered_words(t)
-                kind, known, base, logs, rest = 0, 0, 0.0, 0.0, Counter()
-                spans = [(0, len(words), 0)]
-                if not t.isascii():
-                    spans, begun = [], 0
-                    for j, w in enumerate(words):
-                        if not w.isascii() and (new := kind_after(w, kind)) != kind:
-                            spans.append((begun, j + 1, kind))
-                            kind, begun = new, j + 1
-                    spans.append((begun, len(words), kind))
-                for a, b, k in spans:
-                    counted = Counter(words[a:b])
-                    if b == len(words) and k == kind:
-                        counted[END] += 1
-                    for w, n in counted.items():
-                        if (c := head.get(w)) is not None:
-                            known += n
-                            base += n * math.log10(c + 1)
-                            logs += n * float(head_logs[coder.rank[w], k])
-                        else:
-                            rest[w] += n
-                            who.append(i)
-                            which.append(pairs.setdefault((w, k), len(pairs)))
-                            times.append(n)
-                out[0].append(len(words) + 1)
-                out[1].append(known)
-                out[2].append(base)
-                out[3].append(logs)
-                out[4].append(len(t))
-                rare_words += rest
-                rare_counts += rest.values()
-                ends.append(len(rare_words))
-            if pairs:
-                each = mixer.token_logs(coder, [w for w, _ in pairs], np.array([k for _, k in pairs]))
-                out[3] = np.array(out[3]) + np.bincount(who, each[which] * times, len(texts))
-            rest_of = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
-            return [*out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest_of)]
+            done, group, held = [], [], 0
+            for t in as_bytes(texts):
+                group.append(t)
+                held += len(t)
+                if held > BLOCK_BYTES:
+                    done.append(block(group))
+                    group, held = [], 0
+            if group:
+                done.append(block(group))
+            return [pa.concat_arrays(x) for x in zip(*done, strict=True)]
 
         return run
 
-    fields = "n_tokens bigint, known bigint, base double, logs double, n_bytes bigint, rest array<struct<word: binary, n: bigint>>"
+    fields = "n_tokens bigint, known bigint, base double, logs double, n_bytes bigint, rare array<binary>"
     rows = stored(map_batches(df, keep, [text_of(text)], fields, start).withColumn("__row", F.monotonically_increasing_id()))
-    rare = rows.select("__row", F.explode("rest").alias("x")).select("__row", "x.word", "x.n")
-    found = rare.join(model.counts, "word").groupBy(F.col("__row").alias("__of")).agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("gain"))
+    rare = rows.select("__row", F.explode("rare").alias("word"))
+    found = rare.join(model.counts, "word").groupBy(F.col("__row").alias("__of")).agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
     n = model.train_tokens
     joined = rows.join(found, F.col("__row") == F.col("__of"), "left")
     return joined.select(
