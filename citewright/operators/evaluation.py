@@ -133,3 +133,70 @@ def nearest_rank(values: DataFrame, by: str, value: str, share: float = 0.95) ->
     order = Window.partitionBy(by).orderBy(value)
     rows = values.withColumns({"k": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(by))})
     return rows.filter(F.col("k") == F.bround(share * (F.col("n") - 1)).cast("int")).select(by, F.col(value).alias("p"))
+
+
+def rule_quality(rows: DataFrame, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
+    """(n_predicted, n_gold, precision, recall) of a boolean rule; null where there is nothing to divide by."""
+    both = F.sum((F.col(predicted) & F.col(gold)).cast("bigint"))
+    counts = rows.agg(F.sum(F.col(predicted).cast("bigint")).alias("n_predicted"), F.sum(F.col(gold).cast("bigint")).alias("n_gold"), both.alias("both"))
+    return counts.select("n_predicted", "n_gold", F.try_divide("both", "n_predicted").alias("precision"), F.try_divide("both", "n_gold").alias("recall"))
+
+
+def label_pool(first: DataFrame, second: DataFrame, articles: DataFrame) -> DataFrame:
+    """(query_id, doc_id, x, y): two raters' labels (query_id, doc_id, relevance) over their union and all documents of the articles in it; a missing label is 0.
+
+    articles: (doc_id, article).
+    """
+    labelled = first.select("query_id", "doc_id").union(second.select("query_id", "doc_id")).distinct()
+    touched = labelled.join(articles, "doc_id").select("query_id", "article").distinct()
+    pool = labelled.union(touched.join(articles, "article").select("query_id", "doc_id")).distinct()
+    rated = pool.join(first.withColumnRenamed("relevance", "x"), ["query_id", "doc_id"], "left").join(second.withColumnRenamed("relevance", "y"), ["query_id", "doc_id"], "left")
+    return rated.select("query_id", "doc_id", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+
+
+def answer_metrics(answers: DataFrame, qrels: DataFrame, f1: DataFrame | None = None) -> DataFrame:
+    """(answered, source_ok, source_strict[, mean_f1], correct_refusal, wrong_refusal) of answers (query_id, refused, doc_id, answerable).
+
+    Source rates and F1 (query_id, f1) are means over answered answerable questions.
+    """
+    rows = answers.join(qrels, ["query_id", "doc_id"], "left")
+    rows = rows.join(f1, "query_id", "left") if f1 is not None else rows
+    given = F.col("answerable") & ~F.col("refused")
+    rate = lambda condition, value: F.avg(F.when(condition, value.cast("double")))
+    relevance = F.coalesce("relevance", F.lit(0))
+    return rows.agg(
+        rate(F.col("answerable"), ~F.col("refused")).alias("answered"), rate(given, relevance > 0).alias("source_ok"), rate(given, relevance == 2).alias("source_strict"),
+        *([rate(given, F.coalesce("f1", F.lit(0.0))).alias("mean_f1")] if f1 is not None else []),
+        rate(~F.col("answerable"), F.col("refused")).alias("correct_refusal"), rate(F.col("answerable"), F.col("refused")).alias("wrong_refusal"),
+    )
+
+
+def keep_evidence_check(without: DataFrame, with_check: DataFrame, most_wrong: float = 0.1) -> DataFrame:
+    """(keep): whether the check refuses no fewer unanswerable questions and stays within the limit. Each input is a row (correct, wrong)."""
+    both = without.select(F.col("correct").alias("before")).crossJoin(F.broadcast(with_check.select("correct", "wrong")))
+    return both.select(((F.col("correct") >= F.col("before")) & (F.col("wrong") <= most_wrong)).alias("keep"))
+
+
+def similar_table(suggested: DataFrame, questions: DataFrame, qrels: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """For each threshold: coverage, precision at 1, their F1, and the share of unanswerable questions that get a suggestion.
+
+    suggested: (query_id, other_id, score), the best of each; questions: (query_id,
+    answerable). A suggestion is right if both share a relevant document.
+    """
+    relevant = qrels.filter("relevance > 0").select("query_id", "doc_id")
+    shared = relevant.join(relevant.select(F.col("query_id").alias("other_id"), "doc_id"), "doc_id").select("query_id", "other_id").distinct().withColumn("right", F.lit(True))
+    rows = questions.join(suggested, "query_id", "left").join(shared, ["query_id", "other_id"], "left").crossJoin(F.broadcast(thresholds))
+    shown = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+    good = F.coalesce(F.col("right"), F.lit(False))
+    means = rows.groupBy("threshold").agg(
+        F.avg(F.when(F.col("answerable"), shown.cast("double"))).alias("coverage"), F.avg(F.when(F.col("answerable") & shown, good.cast("double"))).alias("precision_at_1"),
+        F.avg(F.when(~F.col("answerable"), shown.cast("double"))).alias("shown_unanswerable"),
+    )
+    p, c = F.col("precision_at_1"), F.col("coverage")
+    return means.withColumn("f1", F.coalesce(F.try_divide(2 * p * c, p + c), F.lit(0.0)))
+
+
+def best_switches(grid: DataFrame, params: dict[str, str], measure: str, place: str = "place") -> DataFrame:
+    """The best row of a grid for each combination of switches: params maps names to paths in the JSON column ``params``."""
+    rows = grid.withColumns({name: F.get_json_object("params", path) for name, path in params.items()})
+    return best_config(rows, [F.round(measure, 6)], place, list(params))

@@ -177,3 +177,37 @@ def test_log(spark):
     assert tuple(L.summary(q, f).first()) == (3, 1, 0, 1)
     assert rows(L.history(q, f, 2).orderBy(F.desc("id")), "id", "rating") == [(2, None), (1, -1)]
     assert L.history(q, f, keyword="câu 1").count() == 1 and L.per_day(q).count() == 3
+
+
+def test_label_pool_and_answer_metrics(spark):
+    labels = lambda *x: spark.createDataFrame(list(x), "query_id string, doc_id string, relevance int")
+    articles = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "3")], "doc_id string, article string")
+    pool = E.label_pool(labels(("q", "a", 2)), labels(("q", "c", 1)), articles)
+    assert set(rows(pool, "doc_id", "x", "y")) == {("a", 2, 0), ("b", 0, 0), ("c", 0, 1)}
+    answers = spark.createDataFrame([("q", False, "a", True), ("r", True, None, True), ("s", True, None, False)], "query_id string, refused boolean, doc_id string, answerable boolean")
+    assert tuple(E.answer_metrics(answers, labels(("q", "a", 2))).first()) == (0.5, 1.0, 1.0, 1.0, 0.5)
+    rule = spark.createDataFrame([(True, True), (True, False), (False, True)], "predicted boolean, gold boolean")
+    assert tuple(E.rule_quality(rule).first()) == (2, 2, 0.5, 0.5)
+    rate = lambda c, w: spark.createDataFrame([(c, w)], "correct double, wrong double")
+    assert E.keep_evidence_check(rate(0.5, 0.0), rate(0.6, 0.1)).first()[0] and not E.keep_evidence_check(rate(0.5, 0.0), rate(0.6, 0.2)).first()[0]
+
+
+def test_similar_table_and_switches(spark):
+    suggested = spark.createDataFrame([("a", "x", 0.9), ("b", "y", 0.6), ("n", "x", 0.95)], "query_id string, other_id string, score double")
+    questions = spark.createDataFrame([("a", True), ("b", True), ("n", False)], "query_id string, answerable boolean")
+    qrels = spark.createDataFrame([("a", "d1", 2), ("x", "d1", 1), ("b", "d2", 1), ("y", "d3", 1)], "query_id string, doc_id string, relevance int")
+    table = E.similar_table(suggested, questions, qrels, spark.createDataFrame([(0.5,), (0.7,)], "threshold double"))
+    assert {r.threshold: (r.coverage, r.precision_at_1, r.shown_unanswerable) for r in table.collect()} == {0.5: (1.0, 0.5, 1.0), 0.7: (0.5, 1.0, 1.0)}
+    grid = spark.createDataFrame([(0, '{"blend": 0}', 0.5), (1, '{"blend": 0}', 0.7), (2, '{"blend": 1}', 0.4)], "place int, params string, ndcg double")
+    assert set(rows(E.best_switches(grid, {"blend": "$.blend"}, "ndcg"), "blend", "place")) == {("0", 1), ("1", 2)}
+
+
+def test_aspects(spark):
+    chunks = spark.createDataFrame(
+        [("c1", "L", "16", "Thủ tục đăng ký khai sinh", "Người đi đăng ký nộp tờ khai", 1), ("c2", "L", "16", "Thủ tục đăng ký khai sinh", "Ngay sau khi nhận đủ giấy tờ", 2), ("c3", "L", "18", "Thủ tục đăng ký kết hôn", "nộp tờ khai", 3)],
+        "doc_id string, source string, article string, title string, text string, pos int",
+    )
+    hits = spark.createDataFrame([("q", "c1", 1), ("q", "c3", 2), ("h", "c2", 1)], "query_id string, doc_id string, rank int")
+    asked = spark.createDataFrame([("q", "khai sinh mất bao lâu"), ("h", "khai sinh cần giấy tờ gì")], "query_id string, question string")
+    assert dict(rows(A.aspect_chunks(hits, chunks, asked), "query_id", "doc_id")) == {"q": "c2", "h": "c1"}
+    assert asked.filter("query_id = 'q'").select(A.suggestions(F.col("question"), 2)).first()[0] == ["Kết hôn", "Xác nhận tình trạng hôn nhân"]
