@@ -2,12 +2,13 @@
 
 Which strings of LENGTH bytes start earlier elsewhere is found in three steps:
 
-1. Anchors. Of every run of LENGTH bytes at least one 32-byte gram is chosen by its
-   content alone (the least hash among those inside), so equal strings choose equal
-   grams. Grams chosen in one place only belong to no repeated string.
-2. Contexts. Around each remaining anchor stand the bytes of all strings that contain
-   it. Equal contexts are collapsed to the earliest; the others are covered wholly.
-3. Shards. Different contexts of the same anchor meet in a shard. Its suffix array and
+1. Anchors. Every string has an anchor, chosen by its content alone: the 32-byte gram
+   inside it with the least hash. So equal strings have equal anchors, and strings
+   whose anchor occurs once have no equal.
+2. Contexts. Neighbouring strings of one anchor are a run, and its bytes a context.
+   Equal contexts are collapsed to the earliest; the others are covered wholly.
+3. Shards. Different contexts of the same anchor meet in a shard, less those whose
+   bytes tell that they share no string with another. Its suffix array and
    permuted common prefixes give the strings that occur in several of them; all but
    the earliest occurrence are covered.
 """
@@ -18,10 +19,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import as_bytes, join_groups, map_batches, stored, table, text_of
+from citewright.llm.common import as_bytes, discard, join_groups, map_batches, stored, table, text_of
 
 LENGTH = 100
 GRAM = 32
@@ -31,12 +33,14 @@ _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111
 SHARD_BYTES = 1 << 20
 #: An anchor with more different contexts than this is searched by hashes of whole strings.
 SHARD_CONTEXTS = 20_000
+#: Parts that the places of an anchor in its strings are dealt into; see _comparable.
+PARTS = 4
 #: Alphabets up to this size are induced bucket by bucket with array operations.
 _ARRAYS_UPTO = 512
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams with the least hash in some run of ``length`` bytes."""
+    """(places, hashes): for each string of ``length`` bytes, the gram inside it with the least hash, the leftmost of equals."""
     n = len(data) - gram + 1
     if len(data) < length:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -45,19 +49,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     for k in range(gram // 8):
         h = (h ^ (words[8 * k : 8 * k + n] * _ODD[k])) * _ODD[(k + 1) % 4]
         h ^= h >> _U(31)
-    width = length - gram + 1
-
-    def sliding(x: np.ndarray, choose) -> np.ndarray:
-        """choose() over each run of ``width`` values."""
-        span, y = 1, x
-        while 2 * span <= width:
-            y = choose(y[:-span], y[span:])
-            span *= 2
-        return choose(y[: len(x) - width + 1], y[width - span :]) if span < width else y
-
-    least = sliding(h, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(h == sliding(np.concatenate([edge, least, edge]), np.maximum))
+    place = _U((1 << 28) - 1)
+    least, span, width = h & ~place | np.arange(n, dtype=np.uint64), 1, length - gram + 1
+    while 2 * span <= width:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    least = np.minimum(least[: n - width + 1], least[width - span :][: n - width + 1])
+    chosen = (least & place).astype(np.int64)
     return chosen, h[chosen]
 
 
@@ -265,63 +263,99 @@ def _anchor_rows(df: DataFrame, length: int) -> DataFrame:
                 sizes = np.array([len(texts[j]) for j in group])
                 ends = np.cumsum(sizes)
                 at, h = anchors(np.frombuffer(b"".join(texts[j] for j in group), np.uint8), length)
-                which = np.searchsorted(ends, at, "right")
-                inside = at + GRAM <= ends[which]  # no gram spans two texts
+                begin = np.arange(len(at))
+                which = np.searchsorted(ends, begin, "right")
+                inside = np.flatnonzero(begin + length <= ends[which])  # no string spans two texts
                 at, h, which = at[inside], h[inside], which[inside]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[group][which]), pa.array((at - (ends - sizes)[which]).astype(np.int32)), pa.array(h.view(np.int64))], ["key", "at", "h"])
+                # strings that follow one another and have the same gram are one run
+                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (which[1:] != which[:-1])]))
+                last = np.append(first[1:], len(inside)) - 1
+                offset = (ends - sizes)[which[first]]
+                columns = [keys[group][which[first]], (inside[first] - offset).astype(np.int32), (inside[last] - inside[first]).astype(np.int32), (at[first] - inside[first]).astype(np.int32), h[first].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "start", "more", "lead", "h"])
                 group, held = [], 0
 
-    return df.mapInArrow(run, "key bigint, at int, h bigint")
+    return df.mapInArrow(run, "key bigint, start int, more int, lead int, h bigint")
 
 
 def _context_rows(df: DataFrame, length: int) -> DataFrame:
-    """df: (key, text, found array<struct<at, h>>). The bytes of all strings around each anchor."""
-    reach = length - GRAM
+    """df: (key, text, found array<struct<start, more, lead, h>>). The bytes of all strings of each run; lead: where the anchor is in the first."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             held = 0
 
             def rows(out: list[list]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["key", "start", "h", "context"])
+                return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())], ["key", "start", "h", "context", "lead"])
 
             for key, text, found in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
                 x = found.values
-                for at, h in zip(x.field("at").to_pylist(), x.field("h").to_pylist(), strict=True):
-                    begin = max(0, at - reach)
-                    context = text[begin : at + length]
-                    for column, v in zip(out, (key, begin, h, context), strict=True):
-                        column.append(v)
-                    held += len(context)
+                starts, ends = x.field("start").to_pylist(), (x.field("start").to_numpy() + x.field("more").to_numpy() + length).tolist()
+                out[0] += [key] * len(starts)
+                out[1] += starts
+                out[2] += x.field("h").to_pylist()
+                out[3] += [text[a:b] for a, b in zip(starts, ends, strict=True)]
+                out[4] += x.field("lead").to_pylist()
+                held += sum(ends) - sum(starts)
                 if held > 8 << 20:
                     yield rows(out)
-                    out, held = [[], [], [], []], 0
+                    out, held = [[], [], [], [], []], 0
             yield rows(out)
 
-    return df.mapInArrow(run, "key bigint, start bigint, h bigint, context binary")
+    return df.mapInArrow(run, "key bigint, start bigint, h bigint, context binary, lead int")
+
+
+def _comparable(rows: list[tuple], length: int) -> list[tuple]:
+    """Of the contexts (key, start, h, context, lead), those that can share a string with another of the same anchor.
+
+    In a string an anchor stands at one of length - GRAM + 1 places. The strings of a
+    context with the anchor at a place of one part have a core in common, however many
+    they are. A context that has no core in common with another of its anchor shares
+    no string with any, and need not be sorted.
+    """
+    reach = length - GRAM
+    edges = [(reach + 1) * k // PARTS for k in range(PARTS + 1)]
+    seen: dict[tuple[int, int, int], int] = {}
+    keys = []
+    for _, _, owner, context, lead in rows:
+        own = []
+        for k in range(PARTS):
+            low, high = lead - edges[k + 1] + 1, lead - edges[k]  # where strings with the anchor at these places start
+            if high >= 0 and low <= len(context) - length:
+                key = (owner, k, xxhash.xxh3_64_intdigest(context[high : low + length]))
+                seen[key] = seen.get(key, 0) + 1
+                own.append(key)
+        keys.append(own)
+    return [r for r, own in zip(rows, keys, strict=True) if any(seen[key] > 1 for key in own)]
 
 
 def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """contexts (key, start, h, context), those of an anchor together and in turn."""
+    """contexts (key, start, h, context, lead), those of an anchor together and in turn."""
 
     def run(batches):
         held: list[tuple] = []
-        size, last = 0, None
+        waiting: list[tuple] = []
+        size = 0
 
         def solve():
             docs, starts = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
             spans = _spans(*later_occurrences([r[3] for r in held], docs, starts, length), length)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], ["key", "from", "to"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] != last and size > SHARD_BYTES:
-                    yield solve()
-                    held, size = [], 0
-                last = row[2]
-                held.append(row)
-                size += len(row[3])
+                if len(waiting) > 2000 and row[2] != waiting[-1][2]:
+                    chosen = _comparable(waiting, length)
+                    waiting.clear()
+                    held += chosen
+                    size += sum(len(r[3]) for r in chosen)
+                    if size > SHARD_BYTES:
+                        yield solve()
+                        size = 0
+                waiting.append(row)
+        held += _comparable(waiting, length)
         if held:
             yield solve()
 
@@ -344,8 +378,10 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     found = stored(_anchor_rows(docs, length))
     total = max(1, found.count())
     several = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    kept = join_groups(found, several, ["h"], "n", total).groupBy("key").agg(F.collect_list(F.struct("at", "h")).alias("found"))
-    rows = stored(_context_rows(docs.join(kept, "key").select("key", "text", "found"), length).filter(F.length("context") >= length))
+    kept = stored(join_groups(found, several, ["h"], "n", total).groupBy("key").agg(F.collect_list(F.struct("start", "more", "lead", "h")).alias("found")))
+    discard(found, several)
+    rows = stored(_context_rows(docs.join(kept, "key").select("key", "text", "found"), length))
+    discard(kept)
     ids = ["h", "x", "y"]
     hashed = rows.select("key", "start", "h", F.xxhash64(F.lit(1), "context").alias("x"), F.xxhash64(F.lit(2), "context").alias("y"), F.length("context").alias("n_bytes"))
     groups = stored(hashed.groupBy(ids).agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")))
@@ -353,11 +389,13 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     copies = copies.select("key", F.col("start").alias("from"), (F.col("start") + F.col("n_bytes")).alias("to"))
     shards = groups.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     firsts = groups.join(shards, "h").select("first.key", "first.start", "h", "contexts")
-    differing = stored(rows.join(firsts, ["key", "start", "h"]).select("key", "start", "h", "context", "contexts"))
-    small, large = (differing.filter(c).select("key", "start", "h", "context") for c in (f"contexts <= {SHARD_CONTEXTS}", f"contexts > {SHARD_CONTEXTS}"))
+    differing = stored(rows.join(firsts, ["key", "start", "h"]).select("key", "start", "h", "context", "lead", "contexts"))
+    small, large = (differing.filter(c).select("key", "start", "h", "context", "lead") for c in (f"contexts <= {SHARD_CONTEXTS}", f"contexts > {SHARD_CONTEXTS}"))
     spans = copies.unionByName(_shard_spans(small.repartition("h").sortWithinPartitions("h"), length))
     if large.take(1):
         spans = spans.unionByName(_hashed_spans(large, length))
+    spans = stored(spans)
+    discard(rows, groups, differing)
     return spans
 
 
