@@ -111,7 +111,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows of df as Parquet in the shared folder: lineage ends, and later reads take only their columns."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
@@ -119,9 +129,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, to
 
     Groups of a thousandth of the rows or more, of which there are at most a
     thousand, are broadcast, so that no task gets all rows of one. Both inputs are
-    read twice and should be stored.
+    read several times and should be stored.
     """
     hot = F.col(size) * 1000 >= total
+    if not groups.filter(hot).take(1):
+        return rows.join(groups, on)
     marked = rows.join(F.broadcast(groups.filter(hot)), on, "left")
     rest = marked.filter(F.col(size).isNull()).select(rows.columns).join(groups.filter(~hot), on)
     return marked.filter(F.col(size).isNotNull()).unionByName(rest)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import cut, table, text_of, without
+from citewright.llm.common import cut, join_groups, table, text_of, without
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 _BLOCK_WORDS = 1024  # a block of the filter: 1024 words of 64 bits
@@ -67,14 +67,16 @@ def exact_groups(
     """
     digest = F.sha2(F.regexp_replace(text_of(text), SPACE_RUN, " "), 256)
     rows = cut(df.select(F.col(key).alias("key"), digest.alias("text_sha256")))
-    bits = filter_bits(rows.count(), bits_per_row, max_bits)
+    total = rows.count()
+    bits = filter_bits(total, bits_per_row, max_bits)
     shared = repeated_cells(rows, "text_sha256", bits, hashes)
     maybe = F.lit(True)
     for cell in _cells(F.col("text_sha256"), bits, hashes):
         maybe = maybe & _marked(shared.scalar(), cell)
     rows = rows.withColumn("maybe", maybe)
-    groups = rows.filter("maybe").groupBy("text_sha256").agg(F.min("key").alias("keep_id"), F.count("*").alias("group_size"))
-    several = rows.filter("maybe").join(groups, "text_sha256")
+    shuffled = rows.filter("maybe").drop("maybe")
+    groups = cut(shuffled.groupBy("text_sha256").agg(F.min("key").alias("keep_id"), F.count("*").alias("group_size")))
+    several = join_groups(shuffled, groups, ["text_sha256"], "group_size", total)
     alone = rows.filter("not maybe").withColumns({"keep_id": F.col("key"), "group_size": F.lit(1).cast("bigint")})
     columns = [F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return several.select(columns).unionByName(alone.select(columns))
