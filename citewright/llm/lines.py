@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import table, text_of, without
+from citewright.llm.common import join_groups, stored, table, text_of, without
 
 RESULTS = ("n_lines", "n_removed", "n_spans")
 
@@ -22,15 +22,15 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", windo
         F.sequence(F.lit(0), F.size("lines") - window),
         lambda i: F.struct(i.alias("at"), F.slice("lines", i + 1, window).alias("run")),
     )
-    spans = (
+    spans = stored(
         df.filter(F.col(key).isNotNull())
         .select(F.col(key).alias("key"), lines.alias("lines"))
         .filter(F.size("lines") >= window)
         .select("key", F.explode(first).alias("w"))
         .select("key", "w.at", F.xxhash64(F.lit(1), "w.run").alias("h"), F.xxhash64(F.lit(2), F.reverse("w.run")).alias("g"))
     )
-    repeated = spans.groupBy("h", "g").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = spans.join(repeated, ["h", "g"]).filter(F.struct("key", "at") != F.col("first"))
+    repeated = stored(spans.groupBy("h", "g").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_groups(spans, repeated, ["h", "g"], "n", spans.count()).filter(F.struct("key", "at") != F.col("first"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + window - 1))))
     return later.groupBy(F.col("key").alias(key)).agg(F.array_sort(covered).alias("gone"))
 
