@@ -430,7 +430,9 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
             logs = logs + np.bincount(doc[at], tail_logs(list(zip(rare, kinds[at].tolist(), strict=True))), len(sizes))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(sizes)))])
             rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))
-            return [pa.array(x) for x in (np.array(sizes), known, base, logs, np.array([len(t) for t in texts]))] + [rare_of]
+            counts, sums = (np.array(sizes), known), (base, logs)  # sums over nothing come as integers
+            out = [pa.array(x, pa.int64()) for x in counts] + [pa.array(x.astype(np.float64)) for x in sums]
+            return [*out, pa.array([len(t) for t in texts], pa.int64()), rare_of]
 
         def run(texts: pa.Array):
             done, group, held = [], [], 0
