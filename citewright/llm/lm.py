@@ -1,23 +1,27 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of lower-cased words and one end. A token is coded in bits: a flag,
-then 16 bits of its rank if it is one of the most frequent, else its bytes and a
-terminator by a prefix code. Every bit is predicted from hashed contexts (last bytes of
-the word, kind of text); the predictions are mixed in the logistic domain by weights that
-a gate selects, and an adaptive map refines the mix. What is learned:
-
-* counts of every training word, by kind of text so far (a distributed aggregate);
-* tables of bit counts of fixed size, from all these words;
-* mixing weights and the map, by one online pass over all words in each partition,
-  the partitions' results being averaged.
-
-Only tables of fixed size and the HEAD most frequent words are broadcast.
+A text is a sequence of lower-cased words and one end. A token is coded in bits: by a prefix
+code of the frequent words, or as the code's escape and then its bytes and a terminator by a
+prefix code of bytes. Every bit is predicted from hashed contexts: of a word the kind of text,
+the last bytes, the last word and the last two words before it; of a byte the two to four bytes
+before it, which may belong to the word before, the word so far, and this with the word before.
+The predictions are mixed in the logistic domain by weights that a gate selects, and an adaptive
+map refines the mix. What is learned:
+
+* counts of every training word (a distributed aggregate);
+* in one online pass over the texts of each partition: weights and map, each block of bits being
+  predicted before its counts are added, and tables of bit counts. The partitions' tables are
+  added, their weights averaged.
+
+Tables have as many slots as training tokens, to the next power of two, and at most 2**SLOT_BITS;
+only they and the frequent words, at most HEAD, are broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
@@ -34,22 +38,24 @@ from citewright.llm.common import as_bytes, lowered_words, map_batches, remainde
 END = b"\n"
 KINDS = 8
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
-RANK_BITS = 16
-HEAD = 1 << RANK_BITS
+#: The most words that have a code of their own.
+HEAD = 1 << 17
 #: Rarer words are spelled, so that spelling is learned from words like those not seen yet.
 HEAD_LEAST = 5
-SLOT_BITS = 20
-#: Bytes of the word before a bit that its predictors see, and which of them see the kind of text too.
-ORDERS, WITH_KIND = (2, 4, 12), (2, 12)
-PREDICTORS = len(ORDERS)
+#: Limits of the table sizes, and training tokens of a learning task: its table is written once.
+LEAST_SLOT_BITS, SLOT_BITS = 16, 21
+TASK_TOKENS = 1 << 23
+#: Bytes of the word so far that its predictors see, and bytes before it.
+WORD_BYTES, TAIL = 12, 4
+PREDICTORS = 5
 CHUNKS = 32
-#: Bytes of text scored together, and rare words whose probability a task remembers.
-BLOCK_BYTES, REMEMBERED = 1 << 21, 400_000
-_SLOTS = 1 << SLOT_BITS
+#: Bytes of text scored together, and tokens whose bits are worked out together.
+BLOCK_BYTES, TOKENS = 1 << 21, 4096
 _PRIOR = 0.4
 _BUCKETS = 33
 _STEPS = 32
-_GATES = 16
+_LEVELS = 4
+_GATES = 2 * _LEVELS * _LEVELS
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -98,81 +104,108 @@ def prefix_code(counts: list[int]) -> list[str]:
     return code
 
 
+class Code:
+    """A prefix code as arrays: where a symbol's bits begin, how many there are, and the node before each."""
+
+    def __init__(self, counts: list[int]):
+        code = prefix_code(counts)
+        self.length = np.array([len(c) for c in code])
+        self.first = np.cumsum(self.length) - self.length
+        self.bit = np.array([int(d) for c in code for d in c], np.uint8)
+        self.node = np.array([int("1" + c[:i], 2) for c in code for i in range(len(c))], np.uint64) * _ODD[1]
+
+    def entries(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which symbol, place in the arrays) of each bit."""
+        n = self.length[symbols]
+        which = np.repeat(np.arange(len(symbols)), n)
+        return which, np.arange(len(which)) + np.repeat(self.first[symbols] - np.cumsum(n) + n, n)
+
+
+def _tail(word: bytes) -> int:
+    """The last bytes of a text that ends with the word and a space."""
+    return int.from_bytes((word + b" ")[-TAIL:].rjust(TAIL, b"\0"), "little")
+
+
+def _later(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What x is for the token before; 0 for the first of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = 0
+    return out
+
+
 class Coder:
     """Tokens to bits and the slots that predict them."""
 
-    def __init__(self, head: list[bytes]):
+    def __init__(self, head: list[bytes], counts: list[int], rest: int, slot_bits: int):
+        """head: the frequent words and their counts; rest: how many tokens are none of them."""
         self.rank = {w: i for i, w in enumerate(head)}
+        self.slot_bits = slot_bits
         seen = Counter(b for w in head for b in w + b" ")
-        code = prefix_code([seen[b] + 1 for b in range(256)])
-        self.length = np.array([len(c) for c in code])
-        self.first = np.cumsum(self.length) - self.length
-        self.bit = np.array([int(d) for c in code for d in c], np.uint8)
-        self.node = np.array([int("1" + c[:i], 2) for c in code for i in range(len(c))], np.uint64)
+        self.bytes = Code([seen[b] + 1 for b in range(256)])
+        self.words = Code([*counts, max(1, rest), 1])  # the escape, and one never used, so that no code is empty
+        self.hash = np.array([zlib.crc32(w) + 1 for w in head] + [0], np.uint64)
+        self.tail = np.array([_tail(w) for w in head] + [0], np.uint64)
 
-    @staticmethod
-    def _slots(contexts: list[np.ndarray], nodes: np.ndarray, phase: int, which: np.ndarray | None = None) -> np.ndarray:
-        """contexts: one for each bit, or for each of what ``which`` says a bit belongs to."""
+    def _slots(self, contexts: list[np.ndarray], which: np.ndarray, nodes: np.ndarray, phase: int) -> np.ndarray:
+        """contexts: one array for each predictor, by what ``which`` says a bit belongs to."""
         out = np.empty((PREDICTORS, len(nodes)), np.int32)
-        node = nodes * _ODD[1]
         for k, c in enumerate(contexts):
             h = (c + _U(phase + 3 * k)) * _ODD[0]
             h = (h ^ (h >> _U(32))) * _ODD[2]
-            np.right_shift((h if which is None else h[which]) + node, _U(64 - SLOT_BITS), out=out[k], casting="unsafe")
+            np.right_shift(h[which] + nodes, _U(64 - self.slot_bits), out=out[k], casting="unsafe")
         return out
 
-    def flags(self, known: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kind = kinds.astype(np.uint64) + _U(1)
-        zero = np.zeros(len(kinds), np.uint64)
-        return self._slots([kind, zero, kind], zero, 0), known.astype(np.uint8)
-
-    def ranked(self, ranks: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(owner, slots, bits) of the bits of each rank, the highest first."""
-        up = np.arange(RANK_BITS, 0, -1, dtype=np.uint64)
-        nodes = ((ranks.astype(np.uint64)[:, None] | _U(HEAD)) >> up).ravel()
-        bits = ((ranks.astype(np.int64)[:, None] >> np.arange(RANK_BITS - 1, -1, -1)) & 1).astype(np.uint8).ravel()
-        kind = np.repeat(kinds.astype(np.uint64) + _U(1), RANK_BITS)
-        zero = np.zeros(len(nodes), np.uint64)
-        return np.repeat(np.arange(len(ranks)), RANK_BITS), self._slots([kind, zero, kind], nodes, 1), bits
-
-    def spelled(self, words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(owner, slots, bits) of the words' bytes and terminators; contexts are the last bytes of the word."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    def spelled(self, words: list[bytes], kinds: np.ndarray, before: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, slots, bits) of the words' bytes and terminators; before: hash of the word before, tails: the bytes before."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 + TAIL
+        gap = b"\0" * TAIL
+        data = np.frombuffer(gap + (b" " + gap).join(words) + b" ", np.uint8).copy()
         starts = np.cumsum(sizes) - sizes
-        at = np.arange(len(data)) - np.repeat(starts, sizes)
-        kind = np.repeat(kinds, sizes).astype(np.uint64) * _ODD[1]
-        context, contexts = np.zeros(len(data), np.uint64), []
-        for j in range(1, max(ORDERS) + 1):
-            before = np.zeros(len(data), np.uint64)
-            before[j:] = data[:-j] if len(data) > j else 0
-            before[at < j] = 0
-            context = context * _U(257) + before + _U(1)
-            if j in ORDERS:
-                contexts.append(context + _U(1) + (kind if j in WITH_KIND else _U(0)))
-        n = self.length[data]
-        which = np.repeat(np.arange(len(data)), n)
-        entry = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[data], n)
-        owner = np.repeat(np.repeat(np.arange(len(words)), sizes), n)
-        return owner, self._slots(contexts, self.node[entry], 2, which), self.bit[entry]
-
-    def parts(self, words: list[bytes], kinds: np.ndarray):
-        """(owner, slots, bits, phase) of all bits of the tokens: flags, ranks, spellings."""
-        ranks = np.fromiter((self.rank.get(w, -1) for w in words), np.int64, len(words))
-        slots, bits = self.flags(ranks >= 0, kinds)
-        yield np.arange(len(words)), slots, bits, 0
-        known, rest = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
-        for block in np.array_split(known, -(-len(known) // 4096)) if len(known) else ():
-            owner, slots, bits = self.ranked(ranks[block], kinds[block])
-            yield block[owner], slots, bits, 0
-        for block in np.array_split(rest, max(1, len(rest) // 4096)) if len(rest) else ():
-            owner, slots, bits = self.spelled([words[i] for i in block], kinds[block])
-            yield block[owner], slots, bits, 1
+        data[starts[:, None] + np.arange(TAIL)] = tails.astype("<u4").view(np.uint8).reshape(-1, TAIL)
+        own = np.ones(len(data), bool)
+        own[starts[:, None] + np.arange(TAIL)] = False
+        at = np.flatnonzero(own)
+        word = np.repeat(np.arange(len(words)), sizes - TAIL)
+        place = at - starts[word] - TAIL
+        last = data.astype(np.uint64)
+        near = last[at - 1] + (last[at - 2] << _U(8))
+        three = near + (last[at - 3] << _U(16))
+        four = three + (last[at - 4] << _U(24))
+        so_far = np.zeros(len(at), np.uint64)
+        for j in range(1, WORD_BYTES + 1):
+            so_far = so_far * _U(257) + np.where(place >= j, last[np.maximum(at - j, 0)], _U(0)) + _U(1)
+        contexts = [near, three * _ODD[3] + kinds[word].astype(np.uint64), four, so_far, so_far * _ODD[3] + before[word]]
+        which, entry = self.bytes.entries(data[at])
+        return word[which], self._slots(contexts, which, self.bytes.node[entry], 1), self.bytes.bit[entry]
+
+    def parts(self, words: list[bytes], kinds: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None):
+        """(owner, slots, bits, phase) of all bits of the tokens, word codes and spellings; ``first`` marks tokens that begin a text."""
+        ids = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words)) if ids is None else ids
+        rare = np.flatnonzero(ids < 0)
+        hashes, tails = self.hash[ids], self.tail[ids]
+        spelt = [words[i] for i in rare]
+        hashes[rare] = np.fromiter(map(zlib.crc32, spelt), np.uint64, len(rare)) + _U(1)
+        tails[rare] = np.fromiter(map(_tail, spelt), np.uint64, len(rare))
+        tails, one = _later(tails, first), _later(hashes, first)
+        two = one * _ODD[3] + _later(one, first)
+        symbols = np.where(ids < 0, len(self.rank), ids)
+        kind = kinds.astype(np.uint64) + _U(1)
+        for a in range(0, len(words), TOKENS):
+            b = min(a + TOKENS, len(words))
+            which, entry = self.words.entries(symbols[a:b])
+            contexts = [np.zeros(b - a, np.uint64), kind[a:b], tails[a:b], one[a:b], two[a:b]]
+            yield a + which, self._slots(contexts, which, self.words.node[entry], 0), self.words.bit[entry], 0
+            i, j = np.searchsorted(rare, [a, b])
+            if i < j:
+                block = rare[i:j]
+                owner, slots, bits = self.spelled(spelt[i:j], kinds[block], one[block], tails[block])
+                yield block[owner], slots, bits, 1
 
 
 @dataclass
 class Mixer:
-    """Bit counts, gated weights and the adaptive map. The gate is how often the longest context was seen."""
+    """Bit counts, gated weights and the adaptive map. The gate is how often the two longest contexts were seen."""
 
     counts: np.ndarray  # predictors x slots x 2
     weights: np.ndarray  # (predictors + 1) x gates
@@ -181,30 +214,35 @@ class Mixer:
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Mixer:
-        start = np.array([0.2, 0.3, 0.5, 0], np.float32)
+        start = np.array([0.1, 0.1, 0.2, 0.3, 0.3, 0], np.float32)
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - 16) / 2.0))
         return cls(counts, np.tile(start[:, None], (1, _GATES)), np.tile(centre * 2, _GATES), np.full(_GATES * _BUCKETS, 2.0))
 
-    def copy(self) -> Mixer:
-        return Mixer(self.counts, self.weights.copy(), np.zeros_like(self.ones), np.zeros_like(self.total))
-
     def frozen(self) -> Mixer:
         """For prediction only: without the counts."""
         out = Mixer(np.empty(0), self.weights, self.ones, self.total)
-        out.__dict__.update(stretch=self.stretch, gate_of=self.gate_of, bit_log_table=self.bit_log_table)
+        out.__dict__.update(stretch=self.stretch, levels=self.levels, bit_log_table=self.bit_log_table)
         return out
 
     @cached_property
     def stretch(self) -> np.ndarray:
-        return np.log((self.counts[:, :, 1] + _PRIOR) / (self.counts[:, :, 0] + _PRIOR))
+        out = np.empty(self.counts.shape[:2], np.float32)
+        for k, n in enumerate(self.counts):
+            out[k] = np.log((n[:, 1] + np.float32(_PRIOR)) / (n[:, 0] + np.float32(_PRIOR)))
+        return out
 
     @cached_property
-    def gate_of(self) -> np.ndarray:
-        return self._gate(self.counts[-1, :, 0] + self.counts[-1, :, 1]).astype(np.int8)
+    def levels(self) -> np.ndarray:
+        return np.stack([self._level(self.counts[k, :, 0] + self.counts[k, :, 1]) for k in (-2, -1)])
 
     @staticmethod
-    def _gate(seen: np.ndarray) -> np.ndarray:
-        return np.minimum(7, np.log2(1 + seen) / 1.5).astype(np.int64)
+    def _level(seen: np.ndarray) -> np.ndarray:
+        """0 for none, then up to 2, up to 11, more."""
+        return (seen > 0).astype(np.int8) + (seen > 2) + (seen > 11)
+
+    @staticmethod
+    def _gate(shorter: np.ndarray, longer: np.ndarray, phase: int) -> np.ndarray:
+        return longer.astype(np.int32) * np.int32(_LEVELS) + shorter + np.int32(_LEVELS * _LEVELS * phase)
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = self.weights[PREDICTORS][gate]
@@ -227,69 +265,100 @@ class Mixer:
 
     def bit_logs(self, slots: np.ndarray, bits: np.ndarray, phase: int) -> np.ndarray:
         """log2 of the probability of each bit; a mix counts to the next step."""
-        gate = self.gate_of[slots[-1]].astype(np.int32) + np.int32(8 * phase)
+        gate = self._gate(self.levels[0][slots[-2]], self.levels[1][slots[-1]], phase)
         z = self.mix([self.stretch[k][slots[k]] for k in range(PREDICTORS)], gate)
         z *= _STEPS
         at = np.rint(z, out=z).astype(np.int32) + np.int32(14 * _STEPS)
         return self.bit_log_table[((gate * np.int32(28 * _STEPS + 1) + at) << 1) + bits]
 
-    def learn(self, slots: np.ndarray, bits: np.ndarray, weight: np.ndarray, phase: int, squares: np.ndarray, rate: float = 0.05) -> None:
-        """Online: predict a block of bits, then move the weights and the map by it.
-
-        A bit is predicted from the counts less the one that it added itself, so that
-        contexts seen once are weighted as they would be for a new text.
-        """
-        for at in range(0, len(bits), 32768):
-            s, y, w = slots[:, at : at + 32768], bits[at : at + 32768], weight[at : at + 32768]
-            x = []
+    def learn(self, slots: np.ndarray, bits: np.ndarray, phase: int, squares: np.ndarray, rate: float = 0.05) -> None:
+        """Online: predict a block of bits from what came before, move the weights and the map by it, then count it."""
+        for at in range(0, len(bits), 16384):
+            s, y = slots[:, at : at + 16384], bits[at : at + 16384]
+            x, seen = [], []
             for k in range(PREDICTORS):
                 n = self.counts[k][s[k]]
-                n1, n0 = n[:, 1] - y, n[:, 0] - (1 - y)
-                x.append(np.log((n1 + _PRIOR) / (n0 + _PRIOR)))
-            gate = self._gate(n1 + n0) + 8 * phase
+                x.append(np.log((n[:, 1] + np.float32(_PRIOR)) / (n[:, 0] + np.float32(_PRIOR))))
+                if k >= PREDICTORS - 2:
+                    seen.append(self._level(n[:, 0] + n[:, 1]))
+            gate = self._gate(*seen, phase)
             z = self.mix(x, gate)
             cell = self.cell(z, gate)
-            self.ones += np.bincount(cell, w * y, len(self.ones))
-            self.total += np.bincount(cell, w, len(self.total))
-            error = (y - 1 / (1 + np.exp(-z))) * w
-            of_gate = np.maximum(np.bincount(gate, w, _GATES), 1e-9)
+            self.ones += np.bincount(cell, y, len(self.ones))
+            self.total += np.bincount(cell, minlength=len(self.total))
+            error = y - 1 / (1 + np.exp(-z))
+            of_gate = np.maximum(np.bincount(gate, minlength=_GATES), 1)
             step = np.stack([np.bincount(gate, error * v, _GATES) for v in x] + [np.bincount(gate, error, _GATES)]) / of_gate
             squares += step * step
             self.weights += (rate * step / np.sqrt(squares + 1e-8)).astype(np.float32)
+            for k in range(PREDICTORS):
+                np.add.at(self.counts[k].reshape(-1), s[k].astype(np.intp) * 2 + y, np.float32(1))
 
-    def token_logs(self, coder: Coder, words: list[bytes], kinds: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each token."""
+    def token_logs(self, coder: Coder, words: list[bytes], kinds: np.ndarray, first: np.ndarray | None = None, ids: np.ndarray | None = None) -> np.ndarray:
+        """log2 of the probability of each token after those before it; without ``first`` each is a text's first."""
         out = np.zeros(len(words))
-        for owner, slots, bits, phase in coder.parts(words, kinds):
-            out += np.bincount(owner, self.bit_logs(slots, bits, phase), len(words))
+        for owner, slots, bits, phase in coder.parts(words, kinds, np.ones(len(words), bool) if first is None else first, ids):
+            low = int(owner[0])
+            got = np.bincount(owner - low, self.bit_logs(slots, bits, phase))
+            out[low : low + len(got)] += got
         return out
 
 
+def tokens_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(tokens, their kinds, tokens of each text) of texts, each with its end."""
+    words: list[bytes] = []
+    sizes, run_sizes, run_kinds = [], [], []
+    for t in texts:
+        own, begun = lowered_words(t), 0
+        for end, kind in kind_spans(t, own):
+            run_sizes.append(end - begun)
+            run_kinds.append(kind)
+            begun = end
+        run_sizes[-1] += 1
+        words += own
+        words.append(END)
+        sizes.append(len(own) + 1)
+    return words, np.repeat(np.array(run_kinds), run_sizes), np.array(sizes)
+
+
+def blocks_of(texts: list[bytes]):
+    """Texts in groups of about BLOCK_BYTES."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held > BLOCK_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def firsts(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
+
+
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, c, k0 ...): how often each token occurs, and after which kinds of text."""
+    """(word, c): how often each token occurs."""
 
     def run(batches):
-        held = [Counter() for _ in range(KINDS)]
+        held = Counter()
 
         def rows():
-            for kind, counted in enumerate(held):
-                yield pa.RecordBatch.from_arrays([pa.array(counted, pa.binary()), pa.array([kind] * len(counted), pa.int32()), pa.array(counted.values(), pa.int64())], ["word", "kind", "n"])
-                counted.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            held.clear()
 
         for batch in batches:
             for t in as_bytes(batch.column(0)):
-                words, begun = lowered_words(t), 0
-                for end, kind in kind_spans(t, words):
-                    held[kind].update(words[begun:end])
-                    begun = end
-                held[kind][END] += 1
-                if sum(map(len, held)) > 400_000:
+                held.update(lowered_words(t))
+                held[END] += 1
+                if len(held) > 400_000:
                     yield from rows()
         yield from rows()
 
-    pairs = df.select(text_of(text).alias("text")).mapInArrow(run, "word binary, kind int, n bigint")
-    by_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(KINDS)]
-    return pairs.groupBy("word").agg(F.sum("n").alias("c"), *by_kind)
+    return df.select(text_of(text).alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 @dataclass
@@ -300,15 +369,6 @@ class Model:
     coder: Coder
     mixer: Mixer
     head_gains: np.ndarray  # of each rank: log10(c + 1)
-    head_logs: np.ndarray  # rank x kind: log2 of the probability
-
-
-def _weighted(coder: Coder, table_: pa.RecordBatch):
-    """(words, kinds, weights): a row for each kind that a word was seen after."""
-    words = table_.column(0).to_pylist()
-    n = np.stack([table_.column(1 + k).to_numpy() for k in range(KINDS)], axis=1)
-    i, k = np.nonzero(n)
-    return [words[j] for j in i], k, n[i, k].astype(np.float32)
 
 
 def learn(df: DataFrame, text: str = "text") -> Model:
@@ -317,20 +377,27 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     counts = stored(word_counts(df, text))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("c") >= HEAD_LEAST).orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()
-    coder = Coder([bytes(r[0]) for r in top])
+    known = [r[1] for r in top]
+    slot_bits = min(max(LEAST_SLOT_BITS, int(tokens).bit_length()), SLOT_BITS)
+    coder = Coder([bytes(r[0]) for r in top], known, tokens - sum(known), slot_bits)
     shared = spark.sparkContext.broadcast(coder)
-    columns = ["word", *(f"k{k}" for k in range(KINDS))]
+    blank = (PREDICTORS, 1 << slot_bits, 2)
+    size = PREDICTORS * (2 << slot_bits) // CHUNKS
 
-    def count_bits(batches):
-        c, found = shared.value, np.zeros((PREDICTORS, _SLOTS * 2), np.float32)
+    def online(batches):
+        c, m = shared.value, Mixer.of(np.zeros(blank, np.float32))
+        m.ones, m.total = np.zeros_like(m.ones), np.zeros_like(m.total)
+        squares = np.zeros_like(m.weights)
         for batch in batches:
-            words, kinds, weight = _weighted(c, batch)
-            for owner, slots, bits, _ in c.parts(words, kinds) if words else ():
-                w = weight[owner]
-                for k in range(PREDICTORS):
-                    np.add.at(found[k], slots[k] * 2 + bits, w)
-        size = found.size // CHUNKS
-        flat = found.ravel()
+            for group in blocks_of(as_bytes(batch.column(0))):
+                words, kinds, sizes = tokens_of(group)
+                for _, slots, bits, phase in c.parts(words, kinds, firsts(sizes)):
+                    m.learn(slots, bits, phase, squares)
+        seen = m.total.reshape(_GATES, _BUCKETS).sum(axis=1)
+        if seen.any():
+            row = [m.weights.astype(np.float64) * seen, seen, m.ones, m.total]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "n": pa.array([np.concatenate([a.ravel() for a in row]).tobytes()], pa.binary())})
+        flat = m.counts.ravel()
         for k in range(CHUNKS):
             if flat[k * size : (k + 1) * size].any():
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([flat[k * size : (k + 1) * size].tobytes()], pa.binary())})
@@ -339,47 +406,23 @@ def learn(df: DataFrame, text: str = "text") -> Model:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.float32).astype(np.float64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.float64 if k < 0 else np.float32)
         for k, n in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([n.astype(np.float32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
 
     kind = "chunk int, n binary"
-    found = np.zeros(PREDICTORS * _SLOTS * 2, np.float32)
-    size = found.size // CHUNKS
-    for r in counts.select(columns).mapInArrow(count_bits, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).collect():  # the tables, of fixed size
-        found[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.float32)
-    mixer = Mixer.of(found.reshape(PREDICTORS, _SLOTS, 2))
-    begun = spark.sparkContext.broadcast(mixer)
-
-    def online(batches):
-        c, m = shared.value, begun.value
-        m = m.copy()
-        squares = np.zeros_like(m.weights)
-        for batch in batches:
-            words, kinds, weight = _weighted(c, batch)
-            for owner, slots, bits, phase in c.parts(words, kinds) if words else ():
-                m.learn(slots, bits, weight[owner], phase, squares)
-        seen = m.total.reshape(_GATES, _BUCKETS).sum(axis=1)
-        if seen.any():
-            row = [m.weights.astype(np.float64) * seen, seen, m.ones, m.total]
-            yield pa.RecordBatch.from_pydict({"x": pa.array([np.concatenate([a.ravel() for a in row]).tobytes()], pa.binary())})
-
-    seen, weights = np.zeros(_GATES), np.zeros(mixer.weights.shape)
-    def total(batches):
-        x = sum(np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist())
-        if not isinstance(x, int):
-            yield pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary())})
-
-    for r in counts.select(columns).mapInArrow(online, "x binary").repartition(8).mapInArrow(total, "x binary").collect():  # 8 rows of 10 KB
-        x = np.frombuffer(r["x"])
-        w, s, ones, total = np.split(x, np.cumsum([weights.size, _GATES, mixer.ones.size]))
-        weights += w.reshape(weights.shape)
-        seen += s
+    found = np.zeros(PREDICTORS * (2 << slot_bits), np.float32)
+    mixer = Mixer.of(found.reshape(blank))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(tokens) // TASK_TOKENS)
+    rows = stored(df.select(text_of(text).alias("text")).coalesce(tasks).mapInArrow(online, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind))
+    for r in rows.toLocalIterator():  # the tables, of bounded size, a part at a time
+        if r["chunk"] >= 0:
+            found[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.float32)
+            continue
+        w, seen, ones, total = np.split(np.frombuffer(r["n"]), np.cumsum([mixer.weights.size, _GATES, mixer.ones.size]))
         mixer.ones, mixer.total = mixer.ones + ones, mixer.total + total
-    mixer.weights = np.where(seen > 0, weights / np.maximum(seen, 1e-9), mixer.weights).astype(np.float32)
-    words = [bytes(r[0]) for r in top]
-    logs = np.stack([mixer.token_logs(coder, words, np.full(len(words), k)) for k in range(KINDS)], axis=1) if words else np.zeros((0, KINDS))
-    return Model(counts.select("word", "c"), int(tokens), int(distinct), coder, mixer, np.log10([r[1] + 1.0 for r in top]), logs)
+        mixer.weights = np.where(seen > 0, w.reshape(mixer.weights.shape) / np.maximum(seen, 1e-9), mixer.weights).astype(np.float32)
+    return Model(counts, int(tokens), int(distinct), coder, mixer, np.log10([c + 1.0 for c in known]))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -391,59 +434,28 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     columns named like a result are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != text and c.lower() not in RESULTS]
-    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer.frozen(), model.head_gains, model.head_logs))
+    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer.frozen(), model.head_gains))
 
     def start():
-        coder, mixer, gains, head_logs = shared.value
-        rank, memo = coder.rank.get, {}
-
-        def tail_logs(keys: list[tuple[bytes, int]]) -> list[float]:
-            """log2 of the probability of each (word, kind), each worked out once while remembered."""
-            if len(memo) > REMEMBERED:
-                memo.clear()
-            new = list({k: None for k in keys if k not in memo})
-            if new:
-                memo.update(zip(new, mixer.token_logs(coder, [w for w, _ in new], np.array([k for _, k in new])).tolist(), strict=True))
-            return [memo[k] for k in keys]
+        coder, mixer, gains = shared.value
 
         def block(texts: list[bytes]) -> list:
-            words: list[bytes] = []
-            sizes, run_sizes, run_kinds = [], [], []
-            for t in texts:
-                own, begun = lowered_words(t), 0
-                for end, kind in kind_spans(t, own):
-                    run_sizes.append(end - begun)
-                    run_kinds.append(kind)
-                    begun = end
-                run_sizes[-1] += 1
-                words += own
-                words.append(END)
-                sizes.append(len(own) + 1)
-            ids = np.fromiter(map(rank, words, repeat(-1)), np.int32, len(words))
-            kinds = np.repeat(np.array(run_kinds), run_sizes)
+            words, kinds, sizes = tokens_of(texts)
+            ids = np.fromiter(map(coder.rank.get, words, repeat(-1)), np.int64, len(words))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             head = ids >= 0
             known = np.bincount(doc[head], minlength=len(sizes))
             base = np.bincount(doc[head], gains[ids[head]], len(sizes))
-            logs = np.bincount(doc[head], head_logs[ids[head], kinds[head]], len(sizes))
+            logs = np.bincount(doc, mixer.token_logs(coder, words, kinds, firsts(sizes), ids), len(sizes))
             rare, at = list(compress(words, ~head)), np.flatnonzero(~head)
-            logs = logs + np.bincount(doc[at], tail_logs(list(zip(rare, kinds[at].tolist(), strict=True))), len(sizes))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(sizes)))])
             rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))
-            counts, sums = (np.array(sizes), known), (base, logs)  # sums over nothing come as integers
+            counts, sums = (sizes, known), (base, logs)  # sums over nothing come as integers
             out = [pa.array(x, pa.int64()) for x in counts] + [pa.array(x.astype(np.float64)) for x in sums]
             return [*out, pa.array([len(t) for t in texts], pa.int64()), rare_of]
 
         def run(texts: pa.Array):
-            done, group, held = [], [], 0
-            for t in as_bytes(texts):
-                group.append(t)
-                held += len(t)
-                if held > BLOCK_BYTES:
-                    done.append(block(group))
-                    group, held = [], 0
-            if group:
-                done.append(block(group))
+            done = [block(group) for group in blocks_of(as_bytes(texts))]
             return [pa.concat_arrays(x) for x in zip(*done, strict=True)]
 
         return run

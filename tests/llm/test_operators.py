@@ -365,6 +365,28 @@ def test_bits_make_probabilities(spark):
     assert sum(2.0 ** -len(c) for c in code) == 1
 
 
+def test_score_depends_on_the_words_before(spark):
+    """Mixed contexts reach over words: ASCII texts in the order learned score higher than the same words shuffled."""
+    rng = random.Random(7)
+    names = [f"w{i}" for i in range(60)]
+    follow = {n: rng.sample(names, 2) for n in names}
+
+    def made():
+        out = [rng.choice(names)]
+        while len(out) < 80:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    model = lm.learn(spark.createDataFrame([(" ".join(made()),) for _ in range(300)], "text string").repartition(2))
+    held = [made() for _ in range(20)]
+    rows = [(i, 0, " ".join(ws)) for i, ws in enumerate(held)] + [(i, 1, " ".join(rng.sample(ws, len(ws)))) for i, ws in enumerate(held)]
+    got = {(r.i, r.shuffled): r.score for r in lm.score(spark.createDataFrame(rows, "i int, shuffled int, text string"), model).collect()}
+    assert all(got[i, 0] > got[i, 1] + 10 for i in range(len(held)))
+    # spelled words see bytes across the border: an unseen word after two different words
+    logs = [model.mixer.token_logs(model.coder, [w, b"unseen"], np.zeros(2, int), np.array([True, False]))[1] for w in (b"w1", b"w22")]
+    assert logs[0] != logs[1]
+
+
 # --- suffix arrays ---
 
 
