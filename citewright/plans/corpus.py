@@ -203,9 +203,10 @@ b AS (SELECT word, n, replace(strip_accents(word), 'đ', 'd') AS base FROM v), f
 SELECT word, candidate, distance FROM (SELECT u.word, f.word AS candidate, levenshtein(u.base, f.base) + CASE WHEN u.base = f.base AND u.word != f.word THEN 0.5 ELSE 0 END AS distance FROM u, f WHERE abs(length(u.base) - length(f.base)) <= 1) WHERE distance <= 1.5"""
 )
 def spell_candidates(spark, sf_dir):
-    """Words seen 19 times against those seen more often."""
-    v = A.word_counts(docs(spark, sf_dir)).filter(T.strip_latin(F.col("word")).rlike("^[a-z]+$"))
-    return A.spell_candidates(v.filter("n = 19"), v.filter("n >= 20"))
+    """Words of conversations and items that no document has, against all words of documents."""
+    known = A.word_counts(docs(spark, sf_dir))
+    asked = table(spark, sf_dir, "conversations").select("text").union(items(spark, sf_dir).select("text"))
+    return A.spell_candidates(A.word_counts(asked).join(known, "word", "left_anti"), known)
 
 
 @query(
