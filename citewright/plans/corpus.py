@@ -222,11 +222,11 @@ def accent_table(spark, sf_dir):
 
 @query()
 def restored_questions(spark, sf_dir):
-    """French turns without their accents, written with the accents that French documents suggest."""
+    """User turns without their accents, written with the accents that French documents suggest."""
     french = table(spark, sf_dir, "documents").filter("lang = 'fr'").select("text")
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user' and turn = 0")
-    q = turns.select(F.col("conv_id").alias("query_id"), T.strip_latin(F.substring("text", 1, 200)).alias("question"))
-    return A.restore_questions(q, A.accent_table(french)).select("query_id", "restored")
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    q = turns.select(F.struct("conv_id", "turn").alias("query_id"), T.strip_latin(F.col("text")).alias("question"))
+    return A.restore_questions(q, A.accent_table(french)).select("query_id.conv_id", "query_id.turn", "restored")
 
 
 @query()
