@@ -1,5 +1,6 @@
 """Each operator on odd rows and empty tables, and against a plain version on small ones."""
 
+import bisect
 import hashlib
 import itertools
 import random
@@ -207,7 +208,7 @@ def test_bin_completion():
     rng = random.Random(2)
     for _ in range(40):
         counts = dict(Counter(rng.randint(1, 12) for _ in range(rng.randint(1, 9))))
-        packed = packing.pack_counts(counts, 12)
+        packed = packing.pack_counts(counts, 12, nodes=None)
         assert Counter(s for use, n in packed for s in use * n) == Counter(counts) and all(sum(use) <= 12 for use, _ in packed)
         sizes = sorted((s for s, n in counts.items() for _ in range(n)), reverse=True)
 
@@ -216,7 +217,28 @@ def test_bin_completion():
                 return len(bins)
             return min(fewest(left[1:], [*bins[:i], b + left[0], *bins[i + 1 :]]) for i, b in enumerate([*bins, 0]) if b + left[0] <= 12)
 
-        assert sum(n for _, n in packed) <= fewest(sizes, []) + (len(sizes) > 6)
+        left = np.bincount(sizes, minlength=13)
+        assert packing.lower_bound(left) <= sum(n for _, n in packed) == fewest(sizes, []) <= sum(n for _, n in packing.best_fit(left))
+
+
+def plain_best_fit(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(rooms, s)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - s)
+    return len(rooms)
+
+
+def test_never_more_sequences_than_best_fit():
+    rng = random.Random(3)
+    for n in (50, 700, 3000):
+        counts = Counter(min(1023, int(rng.lognormvariate(5.5, 0.9)) + 1) for _ in range(n))
+        sizes = list(counts.elements())
+        packed = packing.pack_counts(counts, nodes=300)
+        assert Counter(s for use, m in packed for s in use * m) == counts and max(sum(use) for use, _ in packed) <= 1024
+        least = plain_best_fit(sizes, 1024)
+        assert sum(m for _, m in packing.best_fit(np.bincount(sizes, minlength=1025))) == least >= sum(m for _, m in packed)
 
 
 def test_tokenizers_agree_on_odd_texts():
@@ -224,9 +246,8 @@ def test_tokenizers_agree_on_odd_texts():
     import public_tokenizers
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     encode = packing.encoder()
-    for t in ("", " " * 300_000, "a" * 5000, "<|endoftext|> x", "it's I'LL \t\n x  y \r\n\r\n", "é́ 日本 \x00　x"):
+    for t in ("", " " * 300_000, "a" * 5000, "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>\n<|endoftext",  "it's I'LL \t\n x  y \r\n\r\n", "é́ 日本 \x00　x"):
         assert list(encode(t)) == whole.encode(t, add_special_tokens=False).ids
 
 
