@@ -32,7 +32,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", windo
     repeated = stored(spans.groupBy("h", "g").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = join_groups(spans, repeated, ["h", "g"], "n", spans.count()).filter(F.struct("key", "at") != F.col("first"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + window - 1))))
-    return later.groupBy(F.col("key").alias(key)).agg(F.array_sort(covered).alias("gone"))
+    return later.groupBy(F.col("key").alias(key)).agg(covered.alias("gone"))
 
 
 def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = 3) -> DataFrame:
@@ -40,15 +40,19 @@ def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: i
 
     Lines end at a line feed; the lines left are joined by one again. Null text
     counts as empty (one empty line). Rows without a key pass unchanged and count
-    for no window. Rows that share a key share the lines removed from either. Input
-    columns named like a result are replaced; the other columns are kept as they are.
+    for no window. Rows that share a key share the lines removed from either; one place
+    in both counts once. A text is taken whole, however
+    many lines it has. Input columns named like a result are replaced; the other columns
+    are kept as they are. An empty table gives no rows.
     """
     gone = repeated_lines(df, text, key, window).select(F.col(key).alias("__key"), F.col("gone").alias("__gone"))
     base = without(df, *RESULTS)
     rows = base.join(gone, base[f"`{key}`"] == gone["__key"], "left").withColumn("__lines", F.split(text_of(text), "\n"))
     rows = rows.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    left = F.filter("__lines", lambda _, i: ~F.array_contains("__gone", i))
-    starts = F.filter("__gone", lambda i: ~F.array_contains("__gone", i - 1))
+    # differences of sets are hashed, so a text costs its lines, whatever goes
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    left = F.transform(kept, lambda i: F.get(F.col("__lines"), i))
+    starts = F.array_except(F.col("__gone"), F.transform("__gone", lambda i: i + 1))
     rows = rows.withColumns(
         {
             "n_lines": F.size("__lines").cast("bigint"),
@@ -61,6 +65,7 @@ def line_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", window: i
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the lines of three-line windows that occurred before, with what was removed."""
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
