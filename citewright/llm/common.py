@@ -107,10 +107,10 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as Parquet in the shared folder: lineage ends, and later reads take only their columns."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of df as Parquet in the shared folder, in folders for each value of ``by``: lineage ends, and later reads take only their columns."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -3,27 +3,30 @@
 Pass one marks, for every row, a few cells of a filter and keeps the cells that at
 least two rows marked. Pass two tests each row against those cells: a row with an
 unshared cell has no equal and passes straight through; only the others shuffle.
-The filter's size follows the number of rows up to ``max_bits``; beyond that more
-rows shuffle, and the result stays the same.
+A filter holds at most ``max_bits`` bits. More rows than it serves are dealt by a prefix
+of the digest into ranges, each of which has a filter of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import cut, join_groups, table, text_of, without
+from citewright.llm.common import cut, join_groups, stored, table, text_of, without
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 _BLOCK_WORDS = 1024  # a block of the filter: 1024 words of 64 bits
 
 
-def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) -> int:
-    """A power of two near bits_per_row bits a row, at least one block, at most max_bits."""
+def filter_sizes(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) -> tuple[int, int]:
+    """(ranges, bits of each range's filter): bits_per_row a row or more; a power of two from one block to max_bits."""
+    ranges = max(1, -(-rows * bits_per_row // max_bits))
     bits = 1 << 16
-    while bits < rows * bits_per_row and bits < max_bits:
+    while bits * ranges < rows * bits_per_row and bits < max_bits:
         bits *= 2
-    return bits
+    return ranges, bits
 
 
 def _cells(digest: Column, bits: int, hashes: int) -> list[Column]:
@@ -54,6 +57,15 @@ def _marked(shared: Column, cell: Column) -> Column:
     return F.call_function("getbit", word, (cell % 64).cast("int")) == 1
 
 
+def _tested(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """rows with ``maybe``: whether all its cells are marked twice or more. The filter is stored first, at most ``bits``."""
+    shared = cut(repeated_cells(rows, "text_sha256", bits, hashes))
+    maybe = F.lit(True)
+    for cell in _cells(F.col("text_sha256"), bits, hashes):
+        maybe = maybe & _marked(shared.scalar(), cell)
+    return rows.withColumn("maybe", maybe)
+
+
 def exact_groups(
     df: DataFrame, text: str = "text", key: str = "doc_id", *, bits_per_row: int = 16, max_bits: int = 1 << 28, hashes: int = 2
 ) -> DataFrame:
@@ -63,17 +75,17 @@ def exact_groups(
     they are compared by SHA-256. The smallest key of a group stays. A null text
     counts as empty. Rows that repeat a key with the same text are all marked
     kept, as the decision is on the key; a null key stays only in a group that has
-    no other. An empty table gives no rows; other columns of df are not read.
+    no other. Texts are taken whole. An empty table gives no rows; other columns of df
+    are not read.
     """
     digest = F.sha2(F.regexp_replace(text_of(text), SPACE_RUN, " "), 256)
     rows = cut(df.select(F.col(key).alias("key"), digest.alias("text_sha256")))
     total = rows.count()
-    bits = filter_bits(total, bits_per_row, max_bits)
-    shared = repeated_cells(rows, "text_sha256", bits, hashes)
-    maybe = F.lit(True)
-    for cell in _cells(F.col("text_sha256"), bits, hashes):
-        maybe = maybe & _marked(shared.scalar(), cell)
-    rows = rows.withColumn("maybe", maybe)
+    ranges, bits = filter_sizes(total, bits_per_row, max_bits)
+    if ranges > 1:  # one folder for each range, so that each is read alone; no shuffle
+        rows = stored(rows.withColumn("range", F.pmod(F.xxhash64("text_sha256", F.lit("range")), F.lit(ranges)).cast("int")), "range")
+    tested = [_tested(rows if ranges == 1 else rows.filter(F.col("range") == r).drop("range"), bits, hashes) for r in range(ranges)]
+    rows = reduce(DataFrame.unionByName, tested)
     shuffled = rows.filter("maybe").drop("maybe")
     groups = cut(shuffled.groupBy("text_sha256").agg(F.min("key").alias("keep_id"), F.count("*").alias("group_size")))
     several = join_groups(shuffled, groups, ["text_sha256"], "group_size", total)
@@ -89,6 +101,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their groups of equal texts; the smallest doc_id of each stays."""
     return exact_groups(without(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
