@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm.common import as_bytes, lowered_words, map_batches, remainder, table, text_of, without
+from citewright.llm.common import as_bytes, lowered_words, map_batches, remainder, stored, table, text_of, without
 
 #: Slots for hashed words; the slots after them are for structure and metadata.
 WORD_SLOTS = 1 << 16
@@ -22,6 +23,8 @@ SLOTS = WORD_SLOTS + len(_STATS) * _BINS
 RESULTS = ("score", "predicted")
 #: Labelled rows to learn from at most, taken by hash of the key.
 TRAINING_ROWS = 8000
+#: Bytes of training rows on the driver at a time.
+PART_BYTES = 1 << 26
 THRESHOLD = 0.3
 _CAPITALS, _DIGITS, _LETTERS = (bytes(range(a, b)) for a, b in ((65, 91), (48, 58), (97, 123)))
 _MARKS = bytes(set(range(33, 127)) - set(_CAPITALS + _DIGITS + _LETTERS))
@@ -70,17 +73,25 @@ class Machine:
         return self.bias + np.add.reduceat(self.weights[slots] * values, starts) + 0.5 * ((sums * sums).sum(axis=1) - squares)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rank: int = 6, epochs: int = 6, rate: float = 0.1, decay: float = 2e-5, batch: int = 64, seed: int = 7) -> Machine:
-    """By AdaGrad on the logistic loss. With one label only, or none, the machine gives its share (0.5)."""
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def fit(parts: list[Callable[[], list[Row]]], share: float, rank: int = 6, epochs: int = 6, rate: float = 0.1, decay: float = 2e-5, batch: int = 64, seed: int = 7) -> Machine:
+    """By AdaGrad on the logistic loss, from parts of rows (slots, values, label), of which one is held at a time.
+
+    share: the rows of label 1. With one label only, or none, the machine gives its share.
+    """
     rng = np.random.default_rng(seed)
-    share = float(np.clip(np.mean(labels), 0.02, 0.98)) if labels else 0.5
+    alone = share in (0, 1) or not parts
+    share = float(np.clip(share, 0.02, 0.98))
     m = Machine(float(np.log(share / (1 - share))), np.zeros(SLOTS, np.float32), np.zeros((SLOTS, rank), np.float32))
-    if len(set(labels)) < 2:
+    if alone:
         return m
     m.factors = rng.normal(0, 0.05, (SLOTS, rank)).astype(np.float32)
-    y = np.array(labels, np.float32)
     gw, gv = np.full(SLOTS, 1e-4, np.float32), np.full((SLOTS, rank), 1e-4, np.float32)
-    for _ in range(epochs):
+    for part in [parts[i] for _ in range(epochs) for i in rng.permutation(len(parts))]:
+        rows = part()
+        y = np.array([r[2] for r in rows], np.float32)
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
@@ -107,11 +118,18 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """A machine from the labelled rows whose key has no remainder 0 (crc32 modulo 5).
 
     At most ``most`` rows are learned from, those whose keys have the smallest
-    hashes; they are described on the executors. Rows without a key or a label of 0
-    or 1 are no examples.
+    hashes; they are described on the executors and learned from in parts of about
+    PART_BYTES, one at a time, however long their texts. Rows without a key or a label of 0
+    or 1 are no examples; a key's labels count as the greater.
     """
     usable = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).filter("__k is not null and __y in (0, 1)")
-    chosen = usable.filter(remainder("__k", 5) != 0).groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(most)
+    usable = usable.filter(remainder("__k", 5) != 0).withColumn("__h", F.xxhash64("__k"))
+    # no partition sends much more than its part of twice ``most`` rows to where they are ordered
+    count = usable.count()
+    low = usable.filter(F.col("__h") < int((2 * 2 * most / max(1, count) - 1) * (1 << 63))) if count > 2 * most else usable
+    if count > 2 * most and low.select("__k").distinct().count() < most:
+        low = usable
+    chosen = low.groupBy("__k", "__h").agg(F.max("__y").alias("__y")).orderBy("__h", "__k").limit(most).select("__k", "__y")
     found = df.join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("__k"))  # `most` rows
 
     def start():
@@ -122,15 +140,24 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return run
 
     inputs = [text_of(text), F.length(text_of(text)) if length is None else length, F.col("__y")]
-    rows = map_batches(found, ["__k"], inputs, "y int, slots binary, x binary", start).orderBy("__k").collect()
-    return fit([(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows], [r["y"] for r in rows])
+    rows = stored(map_batches(found, ["__k"], inputs, "y int, slots binary, x binary", start).withColumn("h", F.xxhash64("__k", "slots")))
+    n, share, size = rows.agg(F.count("*"), F.avg("y"), F.sum(F.octet_length("slots") + F.octet_length("x"))).first()
+    parts = 1 + (size or 0) // PART_BYTES
+
+    def part(i: int) -> list[Row]:
+        here = rows.filter(F.pmod("h", F.lit(parts)) == i).orderBy("__k", "h").collect()
+        return [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["x"], np.float32), r["y"]) for r in here]
+
+    held = part(0) if parts == 1 and n else []
+    return fit([lambda i=i: held or part(i) for i in range(parts if n else 0)], share if n else 0.5)
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, length: Column | None = None) -> DataFrame:
     """The columns ``keep`` of df (all, if None) with score, from 0 to 1, and predicted, 1 where score >= threshold.
 
-    Null texts count as empty; an empty text has only its structure. Input columns
-    named like a result are replaced.
+    Null texts count as empty; an empty text has only its structure. Texts are taken
+    whole, each by itself, so repeated rows have equal scores. An empty table gives no rows.
+    Input columns named like a result are replaced.
     """
     df = without(df, *RESULTS)
     model = df.sparkSession.sparkContext.broadcast(machine)
@@ -166,6 +193,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", keep: list[str] |
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     machine = train(documents, table(spark, sf_dir, "labels"), length=F.col("n_chars"))
     scored = score(documents, machine, keep=["doc_id"], length=F.col("n_chars"))
