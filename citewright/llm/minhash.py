@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 4
 ESTIMATE = 0.55
 #: Likeliest partners of a member that are tried as pairs.
 LIKELIEST = 4
-#: Members of a bucket, beside those that ask for partners, in one task.
+#: Members of a bucket in a lot; a task compares two lots.
 BLOCK = 1024
 RESULTS = ("n_shingles", "component_id", "kept")
 
@@ -149,13 +149,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """members (h, rep, component, ...) by (h, block), once as they stand and, if outside the bucket's largest component, once more in every block to ask for partners."""
+    """members (h, rep, component, ...) by (h, block): every member and, as one that asks for partners, those outside the bucket's largest component.
+
+    Both are dealt into lots of about BLOCK members, and a block is a lot of the one with a
+    lot of the other, so no task holds more than two lots of a bucket.
+    """
     sizes = members.groupBy("h", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    rows = members.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inside = rows.withColumns({"block": F.pmod(F.xxhash64("rep"), "blocks").cast("int"), "asks": F.lit(False)})
-    asking = rows.filter("component != main").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
-    return inside.unionByName(asking).drop("main", "n", "blocks")
+    buckets = sizes.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    rows = members.join(buckets, "h").withColumns({"lots": F.ceil(F.col("n") / BLOCK).cast("int"), "asking": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")})
+    lot, turn = F.pmod(F.xxhash64("rep"), "lots").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "asking").cast("int")
+    inside = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("a")).withColumns({"block": F.col("a") * F.col("lots") + lot, "asks": F.lit(False)})
+    asking = rows.filter("component != main").select("*", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("a")).withColumns({"block": turn * F.col("lots") + F.col("a"), "asks": F.lit(True)})
+    return inside.unionByName(asking).drop("main", "most", "n", "lots", "asking", "a")
 
 
 def _candidates(dealt: DataFrame) -> DataFrame:
@@ -239,7 +244,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     smallest key, whose row is kept. Texts without words (null, empty, white space)
     have empty sets and stand alone. Keys are integers; rows without one stand
     alone, with a null component, and are kept. Rows that share a key are one
-    document, with the least of their texts, and give one row. Other columns are not read.
+    document, with the least of their texts, and give one row. Texts are taken whole. An
+    empty table gives no rows. Other columns are not read.
 
     Bands of four minima, 32 of them, miss a pair at a similarity of 0.75 five times
     in a million, and less above it.
@@ -305,4 +311,5 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", percent:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their components of near duplicates at a similarity of 0.75."""
     return near_duplicates(without(table(spark, sf_dir, "documents").select("doc_id", "text")))
