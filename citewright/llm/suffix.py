@@ -4,13 +4,15 @@ Which strings of LENGTH bytes start earlier elsewhere is found in three steps:
 
 1. Anchors. Every string has an anchor, chosen by its content alone: the 32-byte gram
    inside it with the least hash. So equal strings have equal anchors, and strings
-   whose anchor occurs once have no equal.
+   whose anchor occurs once have no equal. Where the same gram comes back within a string's
+   length, as in a row of one letter, repeats close by are found at once.
 2. Contexts. Neighbouring strings of one anchor are a run, and its bytes a context.
    Equal contexts are collapsed to the earliest; the others are covered wholly.
 3. Shards. Different contexts of the same anchor meet in a shard, less those whose
    bytes tell that they share no string with another. Its suffix array and
    permuted common prefixes give the strings that occur in several of them; all but
-   the earliest occurrence are covered.
+   the earliest occurrence are covered. Contexts of an anchor that has very many are cut
+   into short ones first, which meet only where the strings of both have most bytes in common.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 #: Bytes of contexts that a shard holds, unless one anchor has more.
 SHARD_BYTES = 1 << 20
-#: An anchor with more different contexts than this is searched by hashes of whole strings.
+#: The contexts of an anchor with more different ones are cut into FINE_PARTS.
 SHARD_CONTEXTS = 20_000
+FINE_PARTS = 23
+#: Strings of a text that are worked on together.
+SLICE = 1 << 20
 #: Parts that the places of an anchor in its strings are dealt into; see _comparable.
 PARTS = 4
 #: Alphabets up to this size are induced bucket by bucket with array operations.
@@ -56,7 +61,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         span *= 2
     least = np.minimum(least[: n - width + 1], least[width - span :][: n - width + 1])
     chosen = (least & place).astype(np.int64)
-    return chosen, h[chosen]
+    return chosen, h
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -248,34 +253,67 @@ def _spans(docs: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return docs[begin], at[begin], at[np.append(begin[1:], len(at)) - 1] + length
 
 
+def _near_repeats(at: np.ndarray, which: np.ndarray, place: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """Which strings equal an earlier one among the strings just before them that have the same gram elsewhere.
+
+    at: place of each string's gram; which: its text; place: where it begins; h: hashes of all grams. Equality
+    is that of 128 bits of hash.
+    """
+    out = np.zeros(len(at), bool)
+    moved = (at[1:] != at[:-1]) & (h[at[1:]] == h[at[:-1]]) & (which[1:] == which[:-1])
+    if not moved.any():
+        return out
+    group = np.concatenate([[0], np.cumsum((h[at[1:]] != h[at[:-1]]) | (which[1:] != which[:-1]))])
+    loose = np.flatnonzero(np.bincount(group[1:][moved], minlength=group[-1] + 1)[group])
+    x, y = (np.zeros(len(loose), np.uint64) for _ in range(2))
+    for k, step in enumerate(sorted({*range(0, length - GRAM, GRAM), length - GRAM})):
+        gram = h[place[loose] + step]
+        x, y = (x ^ gram) * _ODD[k % 4], (y + gram) * _ODD[(k + 1) % 4]
+        x, y = x ^ x >> _U(29), y ^ y >> _U(32)
+    order = np.lexsort([loose, y, x, group[loose]])
+    same = np.concatenate([[False], (group[loose][order][1:] == group[loose][order][:-1]) & (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])])
+    out[loose[order[same]]] = True
+    return out
+
+
 def _anchor_rows(df: DataFrame, length: int) -> DataFrame:
-    def run(batches):
+    """Runs of strings of one anchor: (key, start, more strings, lead to the anchor, h); lead is -1 for runs that repeat strings close by."""
+
+    def slices(batches):
+        group: list[tuple[int, int, bytes]] = []
+        held = 0
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
-            keep = [i for i, x in enumerate(texts) if len(x) >= length]
-            group: list[int] = []
-            held = 0
-            for k, i in enumerate(keep):
-                group.append(i)
-                held += len(texts[i])
-                if held < 1 << 20 and k + 1 < len(keep):
-                    continue
-                sizes = np.array([len(texts[j]) for j in group])
-                ends = np.cumsum(sizes)
-                at, h = anchors(np.frombuffer(b"".join(texts[j] for j in group), np.uint8), length)
-                begin = np.arange(len(at))
-                which = np.searchsorted(ends, begin, "right")
-                inside = np.flatnonzero(begin + length <= ends[which])  # no string spans two texts
-                at, h, which = at[inside], h[inside], which[inside]
-                # strings that follow one another and have the same gram are one run
-                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (which[1:] != which[:-1])]))
-                last = np.append(first[1:], len(inside)) - 1
-                offset = (ends - sizes)[which[first]]
-                columns = [keys[group][which[first]], (inside[first] - offset).astype(np.int32), (inside[last] - inside[first]).astype(np.int32), (at[first] - inside[first]).astype(np.int32), h[first].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "start", "more", "lead", "h"])
-                group, held = [], 0
-
-    return df.mapInArrow(run, "key bigint, start int, more int, lead int, h bigint")
+            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                for begin in range(0, len(text) - length + 1, SLICE):
+                    group.append((key, begin, text[begin : begin + SLICE + length - 1]))
+                    held += len(group[-1][2])
+                    if held >= SLICE:
+                        yield group
+                        group, held = [], 0
+        if group:
+            yield group
+
+    def run(batches):
+        for group in slices(batches):
+            sizes = np.array([len(x) for _, _, x in group])
+            ends = np.cumsum(sizes)
+            at, h = anchors(np.frombuffer(b"".join(x for _, _, x in group), np.uint8), length)
+            begin = np.arange(len(at))
+            which = np.searchsorted(ends, begin, "right")
+            inside = np.flatnonzero(begin + length <= ends[which])  # no string spans two texts
+            at, which = at[inside], which[inside]
+            near = _near_repeats(at, which, inside, h, length)
+            # strings that follow one another and have the same gram in the same place are one run
+            new = (np.where(near[1:], -1, at[1:]) != np.where(near[:-1], -1, at[:-1])) | (which[1:] != which[:-1]) | (near[1:] != near[:-1])
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            last = np.append(first[1:], len(inside)) - 1
+            keys, bases = (np.array([g[k] for g in group], np.int64) for k in (0, 1))
+            base = (bases - ends + sizes)[which[first]]
+            lead = np.where(near[first], -1, at[first] - inside[first])
+            columns = [keys[which[first]], inside[first] + base, (inside[last] - inside[first]).astype(np.int32), lead.astype(np.int32), h[at[first]].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "start", "more", "lead", "h"])
+
+    return df.mapInArrow(run, "key bigint, start bigint, more int, lead int, h bigint")
 
 
 def _context_rows(df: DataFrame, length: int) -> DataFrame:
@@ -362,26 +400,33 @@ def _shard_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, "key bigint, from bigint, to bigint")
 
 
-def _hashed_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: strings are grouped by 128 bits of hash."""
-    string = F.expr(f"substring(context, i + 1, {length})")
-    each = contexts.select("key", "start", "context", F.explode(F.sequence(F.lit(0), F.length("context") - length)).alias("i"))
-    each = stored(each.select("key", (F.col("start") + F.col("i")).alias("at"), F.xxhash64(F.lit(1), string).alias("x"), F.xxhash64(F.lit(2), string).alias("y")))
-    groups = stored(each.groupBy("x", "y").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    later = join_groups(each, groups, ["x", "y"], "n", max(1, each.count())).filter(F.struct("key", "at") > F.col("first"))
-    return later.select("key", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
+def _finer(contexts: DataFrame, length: int) -> DataFrame:
+    """contexts (key, start, h, context, lead), each cut into those of its strings that have the anchor in places close together.
 
+    Equal strings have it in the same place. The strings of a cut share all but a few
+    bytes, which go into its h: cuts that share no string mostly part.
+    """
+    reach = length - GRAM
+    edges = [(reach + 1) * k // FINE_PARTS for k in range(FINE_PARTS + 1)]
 
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """(key, from, to): bytes covered by strings of ``length`` bytes that start earlier; spans may overlap."""
-    docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
-    found = stored(_anchor_rows(docs, length))
-    total = max(1, found.count())
-    several = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    kept = stored(join_groups(found, several, ["h"], "n", total).groupBy("key").agg(F.collect_list(F.struct("start", "more", "lead", "h")).alias("found")))
-    discard(found, several)
-    rows = stored(_context_rows(docs.join(kept, "key").select("key", "text", "found"), length))
-    discard(kept)
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for key, at, owner, context, lead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(FINE_PARTS):
+                    low, high = lead - edges[k + 1] + 1, lead - edges[k]  # where these strings start
+                    a, b = max(0, low), min(len(context) - length, high)
+                    if a <= b:
+                        name = xxhash.xxh3_64_intdigest(context[high : low + length], seed=(owner + k) & (1 << 64) - 1)
+                        for column, v in zip(out, (key, at + a, (name ^ 1 << 63) - (1 << 63), context[a : b + length], lead - a), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["key", "start", "h", "context", "lead"])
+
+    return contexts.mapInArrow(run, "key bigint, start bigint, h bigint, context binary, lead int")
+
+
+def _met(rows: DataFrame, length: int, finer: bool = True) -> DataFrame:
+    """(key, from, to) of strings that start earlier in another of the contexts (key, start, h, context, lead) of the same h."""
     ids = ["h", "x", "y"]
     hashed = rows.select("key", "start", "h", F.xxhash64(F.lit(1), "context").alias("x"), F.xxhash64(F.lit(2), "context").alias("y"), F.length("context").alias("n_bytes"))
     groups = stored(hashed.groupBy(ids).agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")))
@@ -390,12 +435,33 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     shards = groups.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     firsts = groups.join(shards, "h").select("first.key", "first.start", "h", "contexts")
     differing = stored(rows.join(firsts, ["key", "start", "h"]).select("key", "start", "h", "context", "lead", "contexts"))
-    small, large = (differing.filter(c).select("key", "start", "h", "context", "lead") for c in (f"contexts <= {SHARD_CONTEXTS}", f"contexts > {SHARD_CONTEXTS}"))
-    spans = copies.unionByName(_shard_spans(small.repartition("h").sortWithinPartitions("h"), length))
-    if large.take(1):
-        spans = spans.unionByName(_hashed_spans(large, length))
-    spans = stored(spans)
-    discard(rows, groups, differing)
+    here = F.col("contexts") <= SHARD_CONTEXTS if finer else F.lit(True)
+    spans = copies.unionByName(_shard_spans(differing.filter(here).drop("contexts").repartition("h").sortWithinPartitions("h"), length))
+    large = differing.filter(~here).drop("contexts")
+    if finer and large.take(1):
+        cut_ = stored(_finer(large, length))
+        spans = spans.unionByName(_met(cut_, length, finer=False))
+        spans = stored(spans)
+        discard(cut_)
+    else:
+        spans = stored(spans)
+    discard(groups, differing)
+    return spans
+
+
+def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """(key, from, to): bytes covered by strings of ``length`` bytes that start earlier; spans may overlap."""
+    docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
+    everything = stored(_anchor_rows(docs, length))
+    near, found = everything.filter("lead < 0"), everything.filter("lead >= 0")
+    total = max(1, found.count())
+    several = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    kept = stored(join_groups(found, several, ["h"], "n", total).groupBy("key").agg(F.collect_list(F.struct("start", "more", "lead", "h")).alias("found")))
+    discard(several)
+    rows = stored(_context_rows(docs.join(kept, "key").select("key", "text", "found"), length))
+    discard(kept)
+    spans = _met(rows, length).unionByName(near.select("key", F.col("start").alias("from"), (F.col("start") + F.col("more") + length).alias("to")))
+    discard(rows)
     return spans
 
 
@@ -406,7 +472,9 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", leng
     a smaller key, or earlier in the same text. Strings are judged on the input. What
     stays is bytes: a cut can fall inside a character. Keys are integers; rows
     without one are left whole and not compared; rows that share a key share their
-    spans. A null text counts as empty. Texts are taken whole.
+    spans, and one place in both counts once. A null text counts as empty. Texts are taken
+    whole, in slices where they are long. An empty table gives no rows; input columns named
+    like a result are replaced.
     """
     spans = repeated_spans(df, text, key, length).groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
     spans = stored(spans)
@@ -437,4 +505,5 @@ def substring_dedup(df: DataFrame, text: str = "text", key: str = "doc_id", leng
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the bytes of 100-byte strings that start earlier, as counts and a digest of what stays."""
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], with_bytes=False)
