@@ -66,6 +66,7 @@ def write_shards(df: DataFrame, path: str, **how) -> None:
 
 
 def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards by key, with the shard that each has among nine."""
     rows = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", *RESULTS)
 

@@ -48,10 +48,12 @@ def test_exact_groups(spark, odd, empty, bits):
     assert left.columns == odd.columns and 6 not in [r.doc_id for r in left.collect()]
 
 
-def test_filter_has_no_false_negatives_when_full(spark):
+@pytest.mark.parametrize("bits", [{"max_bits": 1 << 16}, {"max_bits": 1 << 16, "bits_per_row": 2}])
+def test_filters_by_range(spark, bits):
+    assert exact.filter_sizes(20_000, max_bits=1 << 16) == (5, 1 << 16) and exact.filter_sizes(10**9, max_bits=1 << 28) == (60, 1 << 28)
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.pmod("id", F.lit(15_000))).alias("text"))
-    out = exact.exact_groups(rows, max_bits=1 << 16).agg(F.sum(F.col("kept").cast("int")), F.max("group_size")).first()
-    assert tuple(out) == (15_000, 2)
+    out = exact.exact_groups(rows, **bits).agg(F.sum(F.col("kept").cast("int")), F.max("group_size"), F.count("*")).first()
+    assert tuple(out) == (15_000, 2, 20_000)
 
 
 # --- line dedup ---
@@ -78,9 +80,30 @@ def test_line_dedup(spark, odd, empty):
     assert lines.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    n = 200_000
+    body = "\n".join(f"line {i}" for i in range(n // 2))
+    rows = spark.createDataFrame([(1, body + "\n" + body)], "doc_id bigint, text string")
+    (out,) = lines.line_dedup(rows).collect()
+    assert (out.n_lines, out.n_removed, out.n_spans) == (n, n // 2, 1) and out.text == body
+
+
 # --- sharding ---
 
 
+def plain_shards(docs, shards):
+    """Weighted rendezvous with equal weights: the greatest -1 / ln(u), u from the first 52 bits of an MD5."""
+    unit = lambda key, salt: (int(hashlib.md5(f"{key}:{salt}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return {k: max(range(shards), key=lambda i: (-1 / np.log(unit(k, i)), -i)) for k in docs}
+
+
+def test_shards_are_those_of_the_plain_version(spark):
+    docs = texts(spark)
+    rows = sharding.op3_rendezvous(spark, SF).collect()
+    now, grown = plain_shards(docs, 8), plain_shards(docs, 9)
+    assert {(r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows} == {(k, len(t.encode()) + 1, zlib.crc32(t.encode()), now[k], grown[k]) for k, t in docs.items()}
+    assert len(rows) == len(docs) and Counter(r.shard for r in rows) == Counter(now.values())
+
 def test_shards(spark, odd, empty):
     rows = sharding.shard(odd).collect()
     assert len(rows) == odd.count()
@@ -464,7 +487,7 @@ def test_substring_dedup(spark, odd, empty, contexts, monkeypatch):
     monkeypatch.setattr(suffix, "SHARD_BYTES", 5000)
     docs = {k: t for k, t in texts(spark).items() if k < 120}
     passage = "a passage that several documents share, with more than one hundred bytes in it, so that it has to go from all but the first of them. "
-    docs |= {9001: "x" * 400, 9002: "ab" * 300 + passage, 9003: passage * 3, 9004: "zz " + passage + " yy", 9005: ""}
+    docs |= {8999: "z" * 300, 9000: ("0123456789abcdef" * 4 + "-") * 40, 9001: "x" * 400, 9006: "y" + "x" * 300 + "z" * 200, 9007: ("0123456789abcdef" * 4 + "-") * 7 + "end", 9002: "ab" * 300 + passage, 9003: passage * 3, 9004: "zz " + passage + " yy", 9005: ""}
     rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.substring_dedup(rows).collect()}
     assert got == plain_spans({k: t.encode() for k, t in docs.items()})
@@ -473,6 +496,15 @@ def test_substring_dedup(spark, odd, empty, contexts, monkeypatch):
     assert suffix.substring_dedup(empty).count() == 0
 
 
+def test_long_texts_of_few_letters(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SLICE", 1 << 18)
+    docs = {1: "x" * 5_000_000, 2: "ab " * 400_000, 3: "y" * 99 + "x" * 1000}
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.substring_dedup(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    assert out == {1: (5_000_000, 4_999_999, 1), 2: (1_200_000, 1_199_997, 1), 3: (1099, 1000, 1)}
+    at, h = suffix.anchors(np.full(20_000, 120, np.uint8))
+    assert suffix._near_repeats(at, np.zeros(len(at), int), np.arange(len(at)), h, 100).sum() == len(at) - 1
+
+
 def test_anchors_depend_on_content_alone():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -482,7 +514,7 @@ def test_anchors_depend_on_content_alone():
             before = rng.integers(97, 123, rng.integers(0, 300), dtype=np.uint8)
             data = np.concatenate([before, shared, rng.integers(97, 123, 50, dtype=np.uint8)])
             at, h = suffix.anchors(data)
-            found.append({int(x) for p, x in zip(at, h, strict=True) if len(before) <= p <= len(before) + 68})
+            found.append({int(x) for p, x in zip(at, h[at], strict=True) if len(before) <= p <= len(before) + 68})
         assert found[0] & found[1]
 
 
