@@ -23,7 +23,6 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 ODD_SPACES = r"[ \t   ]{2,}|[\t   ]"
 SPACE_BEFORE_PUNCT = r"\s+([,.;:!?)])"
 BULLET = r"^\s*(?:[•●▪◦·–—*+]|-(?!\d))\s*"
-OLD_TONE = r"(?<![qQ])([oO]|[uU])([aAeE]|[yY])"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -76,6 +75,21 @@ def strip_latin(text: Column) -> Column:
     return F.translate(F.lower(lowered), "đ", "d")
 
 
+#: Letters with one of the five tones: without it, and which it is.
+_TONED = [(chr(c), unicodedata.normalize("NFC", "".join(x for x in d if x not in _TONES)), tone) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] for d in [unicodedata.normalize("NFD", chr(c))] for tone in [next((x for x in d if x in _TONES), "")] if tone]
+
+
+def without_tone(word: Column) -> Column:
+    """An NFC word without its tones; other marks are part of its letters."""
+    return F.translate(word, "".join(a for a, _, _ in _TONED), "".join(b for _, b, _ in _TONED))
+
+
+def tone(word: Column) -> Column:
+    """The tones of an NFC word, in order, as their marks."""
+    letters = "".join(a for a, _, _ in _TONED)
+    return F.translate(F.regexp_replace(word, f"[^{letters}]", ""), letters, "".join(t for _, _, t in _TONED))
+
+
 def has_diacritics(text: Column) -> Column:
     return strip_latin(text) != F.lower(text)
 
@@ -140,7 +154,12 @@ def ngrams(words: Column, least: int = 1, most: int = 2) -> Column:
     parts = []
     for n in range(least, most + 1):
         last = F.size(words) - n + 1
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), _run_of(words, n))
+        if n == 1:
+            runs = words
+        elif n == 2:
+            runs = F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.concat(a, F.lit(" "), b))
+        else:
+            runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), _run_of(words, n))
         parts.append(F.when(last >= 1, runs).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 

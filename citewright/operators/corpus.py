@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -184,8 +185,6 @@ def _quoted(word: str) -> str:
 
 def split_block(lines: list[str], base: Amendment) -> Iterator[dict]:
     """Units of an inserted or replacing block; lines before any clause belong to the base address."""
-    import re
-
     title, clause, point, held = base.title, base.clause, base.point, []
     opened = False
 
@@ -230,7 +229,7 @@ def pack_pieces(pieces: Column, most: int) -> Column:
 
 def halve(piece: str, most: int) -> list[str]:
     """A piece of more than ``most`` words as halves, again and again."""
-    words = piece.split()
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", piece) if w]
     if len(words) <= most:
         return [piece]
     middle = len(words) // 2
@@ -280,20 +279,31 @@ def allocation(n: Column, shares: tuple[float, float, float] = (0.4, 0.2, 0.4))
     return F.array(got[0] - lacking[0] - lacking[1], got[1] + lacking[0], got[2] + lacking[1])
 
 
+def _by_hash(groups: DataFrame, seed: int, kind: str, group: str) -> DataFrame:
+    """groups with nth, the place from 1 in the order of a hash within their kind, and n, the kind's size.
+
+    The hash's first digits are a bucket; buckets are counted, so no task orders a whole kind.
+    """
+    rows = groups.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")))).withColumn("__b", F.left("__h", F.lit(3)))
+    counts = rows.groupBy(kind, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(kind)
+    before = counts.select(kind, "__b", (F.sum("__c").over(w.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(w).cast("int").alias("n"))
+    nth = F.row_number().over(Window.partitionBy(kind, "__b").orderBy("__h", group))
+    placed = rows.withColumn("__nth", nth).join(before, [kind, "__b"])
+    return placed.withColumn("nth", (F.col("__before") + F.col("__nth")).cast("int")).drop("__h", "__b", "__nth", "__before")
+
+
 def group_split(groups: DataFrame, seed: int = 42, kind: str = "kind", group: str = "group_id") -> DataFrame:
     """groups with split: train, validation or test by hash order within each kind, in the shares of ``allocation``."""
-    w = Window.partitionBy(kind)
-    rows = groups.withColumns({"nth": F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group)), "n": F.count("*").over(w).cast("int")})
+    columns = groups.columns
     a = allocation(F.col("n"))
     split = F.when(F.col("nth") <= a[0], "train").when(F.col("nth") <= a[0] + a[1], "validation").otherwise("test")
-    return rows.withColumn("split", split).drop("nth", "n")
+    return _by_hash(groups, seed, kind, group).withColumn("split", split).select(*columns, "split")
 
 
 def double_sample(groups: DataFrame, share: float = 0.2, seed: int = 42, kind: str = "kind", group: str = "group_id", people: int = 3) -> DataFrame:
     """A share of each kind's groups, at least one, by hash order; with two labelers in turn after the writer."""
-    w = Window.partitionBy(kind)
-    rows = groups.withColumns({"nth": F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group)), "n": F.count("*").over(w)})
-    chosen = rows.filter(F.col("nth") <= F.greatest(F.lit(1), F.bround(share * F.col("n")).cast("int")))
+    chosen = _by_hash(groups, seed, kind, group).filter(F.col("nth") <= F.greatest(F.lit(1), F.bround(share * F.col("n")).cast("int")))
     writer = F.pmod(F.col("nth") - 1, F.lit(people))
     return chosen.select(kind, group, (writer + 1).cast("int").alias("writer"), (F.pmod(writer + 1, F.lit(people)) + 1).cast("int").alias("labeler_1"), (F.pmod(writer + 2, F.lit(people)) + 1).cast("int").alias("labeler_2"))
 

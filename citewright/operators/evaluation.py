@@ -128,11 +128,52 @@ def sus(answers: DataFrame, items: list[str]) -> DataFrame:
     return answers.select("participant", (2.5 * sum(parts[1:], parts[0])).alias("sus"))
 
 
+def order_statistics(values: DataFrame, by: str, value: str, places: dict[str, Column], width: float = 0.0005) -> DataFrame:
+    """(by, <name>...): the value at a place, from 0, of each group in order; a place is a column of ``n``, the group's rows.
+
+    Sketches tell two values that a place lies between, for each place; values below them are
+    counted and only those between them are sorted. Where a sketch is wrong the group is
+    sorted whole.
+    """
+    rows = values.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("__v"))
+    n = F.col("n")
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.percentile_approx("__v", [i / 2000 for i in range(2001)], 20_000).alias("cuts"))
+    out = sizes.select(by)
+    for name, place in places.items():
+        share = F.when(n > 1, place / (n - 1)).otherwise(0.0)
+        cut = lambda x: F.get("cuts", F.greatest(F.lit(0), F.least(F.lit(2000), x)).cast("int"))
+        ends = sizes.select(by, place.cast("bigint").alias("at"), cut(F.floor((share - width) * 2000) - 1).alias("low"), cut(F.ceil((share + width) * 2000) + 1).alias("high"))
+        ends = ends.withColumns({"low": F.when(F.col("at") > 0, F.col("low"))})
+        marked = rows.join(ends, by).withColumn("under", F.coalesce(F.col("__v") < F.col("low"), F.lit(False)))
+        counts = marked.groupBy(by).agg(F.sum(F.col("under").cast("bigint")).alias("before"), F.sum((~F.col("under") & (F.col("__v") <= F.col("high"))).cast("bigint")).alias("inside"), F.first("at").alias("at"))
+        counts = counts.withColumn("ok", (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("inside"))).select(by, "before", "ok")
+        near = marked.join(counts, by).filter(~F.col("ok") | (~F.col("under") & (F.col("__v") <= F.col("high"))))
+        k = F.row_number().over(Window.partitionBy(by).orderBy("__v")) - 1 + F.when(F.col("ok"), F.col("before")).otherwise(0)
+        found = near.withColumn("k", k).filter("k = at").select(by, F.col("__v").alias(name))
+        out = out.join(found, by, "left")
+    return out
+
+
 def nearest_rank(values: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
     """The value at place round(share (n - 1)), halves to even, of each group in order."""
-    order = Window.partitionBy(by).orderBy(value)
-    rows = values.withColumns({"k": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(by))})
-    return rows.filter(F.col("k") == F.bround(share * (F.col("n") - 1)).cast("int")).select(by, F.col(value).alias("p"))
+    return order_statistics(values, by, value, {"p": F.bround(share * (F.col("n") - 1))})
+
+
+def medians(values: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the middle value of each group, or the mean of the two."""
+    n = F.col("n")
+    both = order_statistics(values, by, value, {"a": F.floor((n - 1) / 2), "b": F.floor(n / 2)})
+    return both.select(by, ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``i``, from 0 in the order of the key; ranges are counted, so no task numbers them all."""
+    dealt = rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
+    counts = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("__p").orderBy(key))
+    placed = dealt.withColumn("__nth", nth).join(F.broadcast(before), "__p")
+    return placed.withColumn("i", (F.col("__before") + F.col("__nth") - 1).cast("bigint")).drop("__p", "__nth", "__before")
 
 
 def rule_quality(rows: DataFrame, predicted: str = "predicted", gold: str = "gold") -> DataFrame:

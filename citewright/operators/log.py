@@ -36,9 +36,10 @@ def per_day(rows: DataFrame, time: str = "time") -> DataFrame:
 
 def score_bars(sources: DataFrame, by: str, score: str = "score") -> DataFrame:
     """Width of each source's bar: 15 to 100 between the least and the greatest score of its list; 100 if all are equal."""
-    w = Window.partitionBy(by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return sources.withColumn("width", F.when(high == low, 100.0).otherwise(15 + 85 * (F.col(score) - low) / (high - low)))
+    ends = sources.groupBy(by).agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    width = F.when(high == low, 100.0).otherwise(15 + 85 * (F.col(score) - low) / (high - low))
+    return sources.join(ends, by, "left").withColumn("width", width).drop("__low", "__high")
 
 
 def seeded_order(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ score; ``with_zeros`` gives what a full score vector would.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from citewright.functions import text as T
 
 def _postings(docs: DataFrame, terms: DataFrame, words: Column) -> DataFrame:
     """(doc_id, dl, term, tf) of the terms given only: the others never leave the map side."""
-    each = docs.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")) if "w" in docs.columns else docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    tokenised = docs if "w" in docs.columns else docs.select("doc_id", words.alias("w"))
+    each = tokenised.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     return each.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -47,27 +50,62 @@ def tfidf(docs: DataFrame, queries: DataFrame, least: int = 1, most: int = 2, su
     df = of_docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
     idf = df.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
+    weighted = lambda rows, key, name: rows.join(idf, "term").select(key, "term", (tf * F.col("idf")).alias(name))
+    norm = lambda rows, key, c: rows.groupBy(key).agg(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"norm_{key}"))
+    d, q = weighted(of_docs, "doc_id", "d"), weighted(of_queries, "query_id", "q")
+    # only a document's norm leaves the terms: no posting is dealt a second time, and terms of no query end here
+    both = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("d") * F.col("q")).alias("both"))
+    scored = both.join(norm(d, "doc_id", "d"), "doc_id").join(norm(q, "query_id", "q"), "query_id")
+    return scored.select("query_id", "doc_id", (F.col("both") / F.col("norm_doc_id") / F.col("norm_query_id")).alias("score"))
 
-    def normal(rows: DataFrame, key: str) -> DataFrame:
-        weighted = rows.join(idf, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
-        norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias(f"w_{key}"))
 
-    both = normal(of_docs, "doc_id").join(normal(of_queries, "query_id"), "term")
-    return both.groupBy("query_id", "doc_id").agg(F.sum(F.col("w_doc_id") * F.col("w_query_id")).alias("score"))
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, digits: int = 6, itself: bool = True) -> DataFrame:
+    """The k nearest by cosine of unit vectors: (query_id, vector) against (doc_id, vector), integer ids; without ``itself`` equal ids do not meet.
 
-
-def dense(vectors: DataFrame, queries: DataFrame, most_queries: int = 4096) -> DataFrame:
-    """Cosine of unit vectors: (query_id, vector) against (doc_id, vector).
-
-    A set of at most ``most_queries`` goes to every block of vectors by broadcast; a
-    larger one must be dealt out by the caller.
+    Queries go out in blocks of at most ``block``; each batch of vectors is multiplied by a block
+    at once and sends only its own k best of each query on.
     """
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; give at most {most_queries} at a time")
-    q = queries.select("query_id", F.col("vector").alias("q"))
-    return vectors.crossJoin(F.broadcast(q)).select("query_id", "doc_id", T.dot(F.col("q"), F.col("vector")).alias("score"))
+    ids = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]  # ids only
+    out = None
+    for a in range(0, max(1, len(ids)), block):
+        here = ids[a : a + block]
+        rows = queries.filter(F.col("query_id").between(here[0], here[-1])).select("query_id", "vector").toArrow() if here else None
+        part = _nearest(vectors, rows, k, digits, itself)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k, digits)
+
+
+def _nearest(vectors: DataFrame, queries: pa.Table | None, k: int, digits: int, itself: bool) -> DataFrame:
+    matrix = lambda c, n: np.asarray(c.combine_chunks().flatten() if isinstance(c, pa.ChunkedArray) else c.flatten(), np.float64).reshape(n, -1)
+    n = 0 if queries is None else queries.num_rows
+    shared = vectors.sparkSession.sparkContext.broadcast((queries["query_id"].to_numpy(), matrix(queries["vector"], n)) if n else None)
+
+    def run(batches):
+        if shared.value is None:
+            return
+        q, m = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = b.column(0).to_numpy()
+            scores = m @ matrix(b.column(1), len(d)).T
+            if not itself:
+                scores[q[:, None] == d[None, :]] = -np.inf
+            order = np.lexsort([np.broadcast_to(d, scores.shape), -np.round(scores, digits)], axis=1)[:, :k]
+            best = np.take_along_axis(scores, order, 1).ravel()
+            keep = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])[keep]), pa.array(d[order.ravel()][keep]), pa.array(best[keep])], ["query_id", "doc_id", "score"])
+
+    return vectors.select(F.col("doc_id").cast("bigint"), "vector").mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos): places from 1 in the order of the ids; ranges are counted, so no task numbers them all."""
+    rows = docs.select("doc_id").repartitionByRange("doc_id").withColumn("p", F.spark_partition_id())
+    counts = rows.groupBy("p").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("p"), (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("p").orderBy("doc_id"))
+    return rows.withColumn("nth", place).join(F.broadcast(before), "p").select("doc_id", (F.col("before") + F.col("nth")).cast("bigint").alias("pos"))
 
 
 def with_zeros(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -26,7 +26,19 @@ def clean_lines(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sha2(text, 256).alias("text_sha256"))
 
 
-@query()
+_NORMAL = r"regexp_replace(regexp_replace(trim(regexp_replace(line, '[ \t]{2,}|\t', ' ', 'g'), ' '), '\s+([,.;:!?)])', '\1', 'g'), '^\s*(?:[•●▪◦·–—*+]|-([^0-9]|$))\s*', '- \1')"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, i - 1 AS line_no, replace(ls[i], chr(13), '') AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+s AS (SELECT *, regexp_replace(line, '[ \t]{{2,}}|\t', ' ', 'g') AS a FROM l), t AS (SELECT *, regexp_replace(trim(a, ' '), '\s+([,.;:!?)])', '\1', 'g') AS b, trim(a, ' ') AS c FROM s),
+n AS (SELECT doc_id, line_no, {_NORMAL} AS line FROM l), k AS (SELECT * FROM n WHERE line NOT IN ('', '-', '|')), f AS (SELECT *, regexp_replace(lower(line), ':+$', '') IN ({', '.join("'" + x + "'" for x in T.BOILERPLATE_LINES)}) AS boiler FROM k),
+m AS (SELECT line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM f WHERE NOT boiler)
+SELECT 'zero_width_char' AS rule, CAST(sum(len(regexp_extract_all(line, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]'))) AS BIGINT) AS hits FROM l UNION ALL SELECT 'control_char', CAST(sum(len(regexp_extract_all(line, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]'))) AS BIGINT) FROM l
+UNION ALL SELECT 'collapse_space', CAST(sum(len(regexp_extract_all(line, '[ \t]{{2,}}|\t'))) AS BIGINT) FROM l UNION ALL SELECT 'space_before_punct', CAST(sum(len(regexp_extract_all(c, '\s+([,.;:!?)])'))) AS BIGINT) FROM t
+UNION ALL SELECT 'bullet_to_dash', CAST(sum(CAST(regexp_matches(b, '^\s*(?:[•●▪◦·–—*+]|-([^0-9]|$))\s*') AS INT)) AS BIGINT) FROM t
+UNION ALL SELECT 'drop_boilerplate_line', CAST(coalesce(sum(CAST(boiler AS INT)), 0) AS BIGINT) FROM f UNION ALL SELECT 'drop_repeated_line', CAST(coalesce(sum(CAST(line IS NOT DISTINCT FROM before AS INT)), 0) AS BIGINT) FROM m"""
+)
 def cleaning_report(spark, sf_dir):
     return C.cleaning_report(C.explode_lines(docs(spark, sf_dir)))
 
@@ -38,9 +50,8 @@ SELECT source, count(*) AS docs, count(DISTINCT lang) AS langs, round(avg(n), 4)
 def corpus_summary(spark, sf_dir):
     n = F.size(T.tokens(F.col("text"))).cast("bigint")
     t = table(spark, sf_dir, "documents").select("source", "lang", n.alias("n"))
-    return t.groupBy("source").agg(
-        F.count("*").alias("docs"), F.countDistinct("lang").alias("langs"), F.round(F.avg("n"), 4).alias("mean_tokens"), F.min("n").alias("min_tokens"), F.median("n").alias("median_tokens"), F.max("n").alias("max_tokens")
-    )
+    means = t.groupBy("source").agg(F.count("*").alias("docs"), F.countDistinct("lang").alias("langs"), F.round(F.avg("n"), 4).alias("mean_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"))
+    return means.join(E.medians(t, "source", "n").withColumnRenamed("median", "median_tokens"), "source")
 
 
 @query(f"SELECT source, {', '.join(f"count(*) FILTER (lang = '{x}') AS {x}" for x in ('de', 'en', 'es', 'fr'))} FROM documents GROUP BY 1")
@@ -133,12 +144,11 @@ def holm_adjust(spark, sf_dir):
     return E.holm(tests.select("name", (F.col("c") / F.col("n")).alias("p"))).select("name", F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"))
 
 
-_DIFFS = "d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality - toxic AS DOUBLE) AS diff FROM labels WHERE doc_id < 200)"
+_DIFFS = "d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality - toxic AS DOUBLE) AS diff FROM labels)"
 
 
 def _diffs(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "labels")
-    return rows.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("bigint").alias("i"), (F.col("quality") - F.col("toxic")).cast("double").alias("diff"))
+    return E.numbered(table(spark, sf_dir, "labels"), "doc_id").select("i", (F.col("quality") - F.col("toxic")).cast("double").alias("diff"))
 
 
 def _drawn(word: str, a: str, b: str) -> str:
@@ -146,32 +156,48 @@ def _drawn(word: str, a: str, b: str) -> str:
 
 
 @query(
-    f"""WITH {_DIFFS}, n AS (SELECT count(*) AS n FROM d), m AS (SELECT b, avg(diff) AS mean FROM (SELECT b, j, CAST(floor({_drawn('boot', 'b', 'j')} * n) AS BIGINT) AS i FROM range(1000) t(b), n, range((SELECT n FROM n)) u(j)) JOIN d USING (i) GROUP BY 1),
+    f"""WITH {_DIFFS}, n AS (SELECT count(*) AS n FROM d), m AS (SELECT b, avg(diff) AS mean FROM (SELECT b, j, CAST(floor({_drawn('boot', 'b', 'j')} * n) AS BIGINT) AS i FROM range(10000) t(b), n, range((SELECT n FROM n)) u(j)) JOIN d USING (i) GROUP BY 1),
 k AS (SELECT mean, row_number() OVER (ORDER BY mean, b) - 1 AS k FROM m)
-SELECT round(max(CASE WHEN k = 25 THEN mean END), 9) AS low, round(max(CASE WHEN k = 974 THEN mean END), 9) AS high FROM k"""
+SELECT round(max(CASE WHEN k = 250 THEN mean END), 9) AS low, round(max(CASE WHEN k = 9749 THEN mean END), 9) AS high FROM k"""
 )
 def bootstrap_interval(spark, sf_dir):
     return E.bootstrap_interval(_diffs(spark, sf_dir)).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(
-    f"""WITH {_DIFFS}, o AS (SELECT abs(avg(diff)) AS o FROM d), m AS (SELECT b, abs(avg(CASE WHEN {_drawn('flip', 'b', 'i')} < 0.5 THEN diff ELSE -diff END)) AS m FROM range(1000) t(b), d GROUP BY 1)
-SELECT round((1 + sum(CAST(m >= o - 1e-12 AS INT))) / 1001.0, 9) AS p FROM m, o"""
+    f"""WITH {_DIFFS}, o AS (SELECT abs(avg(diff)) AS o FROM d), m AS (SELECT b, abs(avg(CASE WHEN {_drawn('flip', 'b', 'i')} < 0.5 THEN diff ELSE -diff END)) AS m FROM range(10000) t(b), d GROUP BY 1)
+SELECT round((1 + sum(CAST(m >= o - 1e-12 AS INT))) / 10001.0, 9) AS p FROM m, o"""
 )
 def sign_flip(spark, sf_dir):
     return E.sign_flip(_diffs(spark, sf_dir)).select(F.round("p", 9).alias("p"))
 
 
-@query()
-def chunk_pack(spark, sf_dir):
-    """Documents cut into chunks of at most 200 words: whole sentences where they fit."""
-    return C.chunk_texts(docs(spark, sf_dir))
+def halves_sql(pieces: str) -> str:
+    """CTEs from pieces (key, k, piece, room) to e (key, idx, text, n, opens, closes, room): what is too long as sentences, and those as halves of halves."""
+    words = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x != '')"
+    return rf"""hp AS (SELECT *, len({words.format('piece')}) AS n, list_filter(string_split(regexp_replace(piece, '([.;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') AS ss FROM {pieces}),
+hs AS (SELECT key, k, j, room, ss[j] AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS j FROM hp WHERE n > room)),
+hh AS (SELECT key, k, j, '' AS path, {words.format('s')} AS w, room FROM hs UNION ALL SELECT key, k, j, path || b, CASE WHEN b = 0 THEN w[1 : len(w) // 2] ELSE w[len(w) // 2 + 1 :] END, room FROM hh, (VALUES (0), (1)) t(b) WHERE len(w) > room),
+hl AS (SELECT key, k, j, path, CASE WHEN path = '' THEN s ELSE array_to_string(w, ' ') END AS text, len(w) AS n, path != '' AS half, room FROM hh JOIN hs USING (key, k, j, room) WHERE len(w) <= room),
+ha AS (SELECT key, k, 0 AS j, '' AS path, piece AS text, n, false AS half, false AS long, room FROM hp WHERE n <= room UNION ALL SELECT key, k, j, path, text, n, half, true, room FROM hl),
+e AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY k, j, path) AS idx, text, n, room, half OR (long AND row_number() OVER (PARTITION BY key, k ORDER BY j, path) = 1) AS opens,
+half OR (long AND row_number() OVER (PARTITION BY key, k ORDER BY j DESC, path DESC) = 1) AS closes FROM ha)"""
+
+
+def pack_sql(elements: str) -> str:
+    """r: elements (key, idx, text, n, opens, closes, room) with the part that each goes into."""
+    joins = "NOT r.closes AND NOT e.opens AND r.used + e.n <= e.room"
+    return f"""r AS (SELECT key, idx, text, 1 AS part, n AS used, closes FROM {elements} e WHERE idx = 1
+UNION ALL SELECT e.key, e.idx, e.text, CASE WHEN {joins} THEN r.part ELSE r.part + 1 END, CASE WHEN {joins} THEN r.used + e.n ELSE e.n END, e.closes FROM r JOIN {elements} e ON e.key = r.key AND e.idx = r.idx + 1)"""
 
 
-@query("SELECT 'too long' AS rule, 'none' AS chunk_id WHERE false")
-def check_chunks(spark, sf_dir):
-    """Chunks that are empty or too long, or repeat an id or a text."""
-    return C.check_chunks(C.chunk_texts(docs(spark, sf_dir)))
+#: pk: documents cut into chunks of at most 200 words; a sentence that is too long goes by halves.
+PACK_SQL = rf"""cf AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(trim(coalesce(text, ''), ' '), '\s+', ' ', 'g'), ' '), '([.;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') AS ss FROM documents),
+cs AS (SELECT doc_id AS key, j, ss[j] AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS j FROM cf)),
+ch AS (SELECT key, j, '' AS path, string_split(s, ' ') AS w FROM cs UNION ALL SELECT key, j, path || b, CASE WHEN b = 0 THEN w[1 : len(w) // 2] ELSE w[len(w) // 2 + 1 :] END FROM ch, (VALUES (0), (1)) t(b) WHERE len(w) > 200),
+ce AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY j, path) AS idx, array_to_string(w, ' ') AS text, len(w) AS n, false AS opens, false AS closes, 200 AS room FROM ch WHERE len(w) <= 200),
+{pack_sql('ce')}, pp AS (SELECT key, part, string_agg(text, ' ' ORDER BY idx) AS chunk_text FROM r GROUP BY ALL),
+pk AS (SELECT key || CASE WHEN count(*) OVER (PARTITION BY key) > 1 THEN '__P' || part ELSE '' END AS chunk_id, CAST(part AS BIGINT) AS part, count(*) OVER (PARTITION BY key) AS n_parts, CAST(len(list_filter(string_split(chunk_text, ' '), lambda x: x != '')) AS BIGINT) AS n_tokens, chunk_text FROM pp)"""
 
 
 @query(
@@ -197,10 +223,28 @@ def best_quote(spark, sf_dir):
     return quoted.select("query_id", "doc_id", "i", "line", F.round("score", 4).alias("score"), cite.alias("cite"))
 
 
+_COUNTED = "SELECT word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM {}) WHERE regexp_full_match(word, '\\p{{L}}+') GROUP BY 1"
+
+
+#: The other engine's distance counts bytes, so letters of two bytes become others of one.
+_WIDE, _NARROW = "äëïöüÿâêîôûßçåæøœđăơư", "ABCDEFGHIJKLMNOPQRSTU"
+
+
+def _without_tone(word: str) -> str:
+    letters = "".join(a for a, _, _ in T._TONED)
+    return f"translate({word}, '{letters}', '{''.join(b for _, b, _ in T._TONED)}')"
+
+
+def _tone(word: str) -> str:
+    letters = "".join(a for a, _, _ in T._TONED)
+    return f"translate(regexp_replace({word}, '[^{letters}]', '', 'g'), '{letters}', '{''.join(t for _, _, t in T._TONED)}')"
+
+
 @query(
-    r"""WITH t AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents), v AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM t) WHERE regexp_matches(word, '^\p{L}+$') GROUP BY 1),
-b AS (SELECT word, n, replace(strip_accents(word), 'đ', 'd') AS base FROM v), f AS (SELECT * FROM b WHERE n >= 20 AND regexp_full_match(base, '[a-z]+')), u AS (SELECT * FROM b WHERE n = 19 AND regexp_full_match(base, '[a-z]+'))
-SELECT word, candidate, distance FROM (SELECT u.word, f.word AS candidate, levenshtein(u.base, f.base) + CASE WHEN u.base = f.base AND u.word != f.word THEN 0.5 ELSE 0 END AS distance FROM u, f WHERE abs(length(u.base) - length(f.base)) <= 1) WHERE distance <= 1.5"""
+    f"""WITH v AS ({_COUNTED.format('documents')}), q AS ({_COUNTED.format('(SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)')}), x AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM v), y AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM q WHERE word NOT IN (SELECT word FROM v))
+k AS (SELECT word, base, tone, unnest(list_distinct(list_concat([base], list_transform(range(1, length(base) + 1), lambda i: substr(base, 1, i - 1) || substr(base, i + 1))))) AS k FROM x), m AS (SELECT word, base, tone, unnest(list_distinct(list_concat([base], list_transform(range(1, length(base) + 1), lambda i: substr(base, 1, i - 1) || substr(base, i + 1))))) AS k FROM y),
+c AS (SELECT DISTINCT m.word, k.word AS candidate, m.base AS a, k.base AS b, m.tone != k.tone AS differ FROM m JOIN k USING (k))
+SELECT word, candidate, distance FROM (SELECT word, candidate, levenshtein(translate(a, '{_WIDE}', '{_NARROW}'), translate(b, '{_WIDE}', '{_NARROW}')) + CASE WHEN differ THEN 0.5 ELSE 0 END AS distance FROM c) WHERE distance <= 1.5"""
 )
 def spell_candidates(spark, sf_dir):
     """Words of conversations and items that no document has, against all words of documents."""
@@ -298,14 +342,14 @@ SELECT stage, round(avg(value), 4) AS mean, round(median(value), 4) AS median, r
 )
 def latency_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("stage"), "value")
-    other = e.groupBy("stage").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("max"))
-    both = other.join(E.nearest_rank(e, "stage", "value"), "stage")
+    other = e.groupBy("stage").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
+    both = other.join(E.nearest_rank(e, "stage", "value"), "stage").join(E.medians(e, "stage", "value"), "stage")
     return both.select("stage", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("p", 4).alias("p95"), F.round("max", 4).alias("max"))
 
 
 @query(
     """WITH s AS (SELECT event_type, event_id, value, min(value) OVER w AS a, max(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY event_type))
-SELECT event_id, round(CASE WHEN a = b THEN 100 ELSE 15 + 85 * (value - a) / (b - a) END, 4) AS width FROM s WHERE event_id < 1000"""
+SELECT event_id, round(CASE WHEN a = b THEN 100 ELSE 15 + 85 * (value - a) / (b - a) END, 4) AS width FROM s"""
 )
 def score_bars(spark, sf_dir):
     rows = L.score_bars(table(spark, sf_dir, "events"), "event_type", "value")

@@ -97,8 +97,8 @@ SELECT query_id, doc_id, rank, round(score, 4) AS score FROM (SELECT *, row_numb
 def dense_topk(spark, sf_dir):
     """Cosine of every 50th vector against all."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    scores = R.dense(v, v.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), most_queries=1 << 20)
-    return _shown(R.top_k(scores.filter("query_id != doc_id"), 10))
+    queries = v.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return _shown(R.dense_top_k(v, queries, 10, itself=False))
 
 
 @query(
@@ -123,8 +123,7 @@ SELECT query_id, doc_id, rank, round(score, 5) AS score FROM (SELECT *, row_numb
 )
 def fuse_rrf(spark, sf_dir):
     d, q = docs(spark, sf_dir), items(spark, sf_dir)
-    # ids run from 0 without gaps in the driver's documents: the place in order is the id plus 1
-    fused = R.fuse_rrf(R.bm25(d, q), R.tfidf(d, q), (1.0, 1.0), d.select("doc_id", (F.col("doc_id") + 1).alias("pos")))
+    fused = R.fuse_rrf(R.bm25(d, q), R.tfidf(d, q), (1.0, 1.0), R.positions(d))
     return _shown(R.top_k(fused, 10, digits=9), 5)
 
 
@@ -161,9 +160,20 @@ FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"""
 
 
 def qrels(spark, sf_dir) -> DataFrame:
-    """The same, by an equi-join on hashed runs: an item's start is looked up among its candidates by BM25 terms is not needed, as the items are few and go to every block."""
-    q = items(spark, sf_dir).withColumnRenamed("text", "item")  # the benchmark table, a fixed set
-    found = docs(spark, sf_dir).join(F.broadcast(q), F.col("text").contains(F.substring("item", 1, 60)))
+    """The same: an item meets the documents that have the first three whole words of its start in a row, and is then looked for in these."""
+    start = F.substring("text", 1, 60)
+    words = F.split(start, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))  # with a blank on either side, so whole in any text that holds the start
+    q = items(spark, sf_dir).select("query_id", F.col("text").alias("item"), start.alias("start"), inner.alias("w"))
+    d = docs(spark, sf_dir)
+    run = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    long = q.filter(F.size("w") >= 3).withColumn("h", run(F.col("w"), F.lit(0)))
+    runs = d.select("doc_id", F.split("text", " ").alias("v")).filter(F.size("v") >= 3)
+    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("v") - 3), lambda i: run(F.col("v"), i)))).alias("h"))
+    pairs = runs.join(long, "h").select("doc_id", "query_id", "item", "start").join(d, "doc_id")
+    if short := q.filter(F.size("w") < 3).select("query_id", "item", "start").collect():  # starts of fewer words, if the benchmark has any
+        pairs = pairs.unionByName(d.withColumn("s", F.explode(F.array(*[F.struct(F.lit(r[0]).alias("query_id"), F.lit(r[1]).alias("item"), F.lit(r[2]).alias("start")) for r in short]))).select("doc_id", "s.*", "text"))
+    found = pairs.filter(F.col("text").contains(F.col("start")))
     return found.select("query_id", "doc_id", F.when(F.col("text").contains(F.col("item")), 2).otherwise(1).alias("relevance"))
 
 
