@@ -1,25 +1,28 @@
 """Language-model scoring by logistic mixing of hashed-context bit predictors.
 
 A text is a sequence of lower-cased words and one end. A token is coded in bits: by a prefix
-code of the frequent words, or as the code's escape and then its bytes and a terminator by a
-prefix code of bytes. Every bit is predicted from hashed contexts: of a word the kind of text,
-the last bytes, the last word and the last two words before it; of a byte the two to four bytes
-before it, which may belong to the word before, the word so far, and this with the word before.
-The predictions are mixed in the logistic domain by weights that a gate selects, and an adaptive
-map refines the mix. What is learned:
+code of the frequent words, or as the code's escape and then its bytes and a terminator, each by
+the prefix code of bytes after the byte before. Every bit is predicted from hashed contexts: of a
+word the code so far alone, the kind of text, the last bytes, the last word and the last two words
+before it; of a byte the two to four bytes before it, which may belong to the word before, the
+word so far, and this with the word before. The predictions are mixed in the logistic domain by
+weights that a gate selects, and an adaptive map refines the mix. What is learned:
 
 * counts of every training word (a distributed aggregate);
 * in one online pass over the texts of each partition: weights and map, each block of bits being
   predicted before its counts are added, and tables of bit counts. The partitions' tables are
   added, their weights averaged.
 
-Tables have as many slots as training tokens, to the next power of two, and at most 2**SLOT_BITS;
-only they and the frequent words, at most HEAD, are broadcast.
+A word that is spelled may also be one that the training texts have: its probability is that of
+its spelling and its share of all spelled training words, weighed by how many of these occur once.
+
+Tables have as many slots as training tokens, to the next power of two and at most
+2**SLOT_BITS, twice as many for the two longest contexts; only they and the frequent words,
+at most HEAD, are broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -38,26 +41,29 @@ from citewright.llm.common import as_bytes, lowered_words, map_batches, remainde
 END = b"\n"
 KINDS = 8
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
-#: The most words that have a code of their own.
-HEAD = 1 << 17
+#: The most words that have a code of their own, and the training tokens for each.
+HEAD, TOKENS_A_WORD = 1 << 19, 64
 #: Rarer words are spelled, so that spelling is learned from words like those not seen yet.
-HEAD_LEAST = 5
+HEAD_LEAST = 3
 #: Limits of the table sizes, and training tokens of a learning task: its table is written once.
 LEAST_SLOT_BITS, SLOT_BITS = 16, 21
 TASK_TOKENS = 1 << 23
-#: Bytes of the word so far that its predictors see, and bytes before it.
-WORD_BYTES, TAIL = 12, 4
+#: Bytes before a word that its spelling sees.
+TAIL = 4
 PREDICTORS = 5
 CHUNKS = 32
 #: Bytes of text scored together, and tokens whose bits are worked out together.
 BLOCK_BYTES, TOKENS = 1 << 21, 4096
 _PRIOR = 0.4
 _BUCKETS = 33
-_STEPS = 32
 _LEVELS = 4
 _GATES = 2 * _LEVELS * _LEVELS
-_U = np.uint64
+_U, _V = np.uint64, np.uint32
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_NODE, _SLOT = _V(0x9E3779B1), _V(0x85EBCA6B)
+#: An odd number and what it gives 1 with, modulo 2**64.
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
 
 
 #: Kinds of the words above ASCII met so far in this process.
@@ -90,35 +96,51 @@ def kind_spans(text: bytes, words: list[bytes]) -> list[tuple[int, int]]:
     return [*spans, (len(words), kind)]
 
 
-def prefix_code(counts: list[int]) -> list[str]:
-    """A Huffman code for symbols of such counts, each at least 1."""
-    heap = [(c, i, (i,)) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    code = [""] * len(counts)
-    while len(heap) > 1:
-        (a, i, low), (b, _, high) = heapq.heappop(heap), heapq.heappop(heap)
-        for digit, part in (("0", low), ("1", high)):
-            for s in part:
-                code[s] = digit + code[s]
-        heapq.heappush(heap, (a + b, i, low + high))
-    return code
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a Huffman code for symbols of such counts. Very small counts are raised, so that none is longer than 30."""
+    n = len(counts)
+    if n < 2:
+        return np.ones(n, np.int64)
+    counts = np.maximum(counts, max(1, int(counts.sum()) >> 27))
+    order = np.argsort(counts, kind="stable")
+    leaves, inner, parent = counts[order].tolist(), [], [0] * (2 * n - 1)
+    i = j = 0
+    for node in range(n, 2 * n - 1):  # the two least of both queues
+        weight = 0
+        for _ in range(2):
+            if j >= len(inner) or (i < n and leaves[i] <= inner[j]):
+                weight, parent[i], i = weight + leaves[i], node, i + 1
+            else:
+                weight, parent[n + j], j = weight + inner[j], node, j + 1
+        inner.append(weight)
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
 
 
-class Code:
-    """A prefix code as arrays: where a symbol's bits begin, how many there are, and the node before each."""
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes of such lengths, each after a leading one; symbols of one length follow one another."""
+    order = np.argsort(lengths, kind="stable")
+    sorted_ = lengths[order]
+    longest = int(sorted_[-1])
+    # as fractions of the longest code, each begins where the one before ends
+    step = np.left_shift(1, longest - sorted_)
+    begin = np.cumsum(step) - step
+    out = np.empty(len(lengths), np.uint32)
+    out[order] = (begin >> (longest - sorted_)) | np.left_shift(1, sorted_)
+    return out
 
-    def __init__(self, counts: list[int]):
-        code = prefix_code(counts)
-        self.length = np.array([len(c) for c in code])
-        self.first = np.cumsum(self.length) - self.length
-        self.bit = np.array([int(d) for c in code for d in c], np.uint8)
-        self.node = np.array([int("1" + c[:i], 2) for c in code for i in range(len(c))], np.uint64) * _ODD[1]
 
-    def entries(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which symbol, place in the arrays) of each bit."""
-        n = self.length[symbols]
-        which = np.repeat(np.arange(len(symbols)), n)
-        return which, np.arange(len(which)) + np.repeat(self.first[symbols] - np.cumsum(n) + n, n)
+def bits_of(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits, hashes of the codes so far, where each symbol begins) of codes with a leading one."""
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends.astype(np.uint32), lengths)
+    left -= np.arange(1, len(left) + 1, dtype=np.uint32)
+    upto = np.repeat(codes, lengths) >> left
+    return (upto & _V(1)).astype(np.uint8), (upto >> _V(1)) * _NODE, ends - lengths
 
 
 def _tail(word: bytes) -> int:
@@ -134,30 +156,67 @@ def _later(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """32 well-mixed bits of 64."""
+    x = (x + _U(salt)) * _ODD[0]
+    x = (x ^ (x >> _U(29))) * _ODD[1]
+    return (x >> _U(32)).astype(np.uint32)
+
+
 class Coder:
     """Tokens to bits and the slots that predict them."""
 
     def __init__(self, head: list[bytes], counts: list[int], rest: int, slot_bits: int):
         """head: the frequent words and their counts; rest: how many tokens are none of them."""
-        self.rank = {w: i for i, w in enumerate(head)}
-        self.slot_bits = slot_bits
-        seen = Counter(b for w in head for b in w + b" ")
-        self.bytes = Code([seen[b] + 1 for b in range(256)])
-        self.words = Code([*counts, max(1, rest), 1])  # the escape, and one never used, so that no code is empty
-        self.hash = np.array([zlib.crc32(w) + 1 for w in head] + [0], np.uint64)
-        self.tail = np.array([_tail(w) for w in head] + [0], np.uint64)
-
-    def _slots(self, contexts: list[np.ndarray], which: np.ndarray, nodes: np.ndarray, phase: int) -> np.ndarray:
-        """contexts: one array for each predictor, by what ``which`` says a bit belongs to."""
-        out = np.empty((PREDICTORS, len(nodes)), np.int32)
+        # words that are spelled alike have codes that begin alike, where they are as frequent
+        order = sorted(range(len(head)), key=head.__getitem__)
+        self.head = [head[i] for i in order]
+        self.counts = np.array([counts[i] for i in order], np.int64)
+        self.rest = rest
+        self.slot_bits = [slot_bits + (k >= PREDICTORS - 2) for k in range(PREDICTORS)]
+        self.prepare()
+
+    def prepare(self) -> None:
+        self.rank = {w: i for i, w in enumerate(self.head)}
+        self.word_lengths = code_lengths(np.append(self.counts, [max(1, self.rest), 1]))  # the escape, and one never used, so that no code is empty
+        self.word_codes = canonical(self.word_lengths)
+        pairs = np.ones((256, 256), np.int64)  # a byte after another, in words by the logarithm of their count
+        text = np.frombuffer(b"".join(b" " + w + b" " for w in self.head), np.uint8)
+        if len(text):
+            sizes = np.array([len(w) + 2 for w in self.head])
+            weight = np.repeat(1 + np.log2(self.counts + 1.0).astype(np.int64), sizes)
+            inner = np.ones(len(text), bool)
+            inner[np.cumsum(sizes) - sizes] = False
+            at = np.flatnonzero(inner)
+            pairs += np.bincount(text[at - 1].astype(np.int64) * 256 + text[at], weight[at], 65536).astype(np.int64).reshape(256, 256)
+        lengths = [code_lengths(row) for row in pairs]
+        self.byte_lengths = np.concatenate(lengths)
+        self.byte_codes = np.concatenate([canonical(x) for x in lengths])
+        self.hash = np.array([zlib.crc32(w) + 1 for w in self.head] + [0], np.uint64)
+        self.tail = np.array([_tail(w) for w in self.head] + [0], np.uint64)
+
+    def __getstate__(self):
+        return (self.head, self.counts, self.rest, self.slot_bits)
+
+    def __setstate__(self, state):
+        self.head, self.counts, self.rest, self.slot_bits = state
+        self.prepare()
+
+    def _slots(self, contexts: list[np.ndarray], lengths: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+        """Of each predictor, the slot of each bit; contexts: 32 bits for each symbol."""
+        out = []
         for k, c in enumerate(contexts):
-            h = (c + _U(phase + 3 * k)) * _ODD[0]
-            h = (h ^ (h >> _U(32))) * _ODD[2]
-            np.right_shift(h[which] + nodes, _U(64 - self.slot_bits), out=out[k], casting="unsafe")
+            s = np.repeat(c, lengths)
+            s ^= nodes
+            s *= _SLOT
+            s ^= s >> _V(15)
+            s *= _NODE
+            s >>= _V(32 - self.slot_bits[k])
+            out.append(s.astype(np.int64))
         return out
 
-    def spelled(self, words: list[bytes], kinds: np.ndarray, before: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(owner, slots, bits) of the words' bytes and terminators; before: hash of the word before, tails: the bytes before."""
+    def spelled(self, words: list[bytes], kinds: np.ndarray, before: np.ndarray, tails: np.ndarray):
+        """(where each word's bits begin, slots, bits) of the words' bytes and terminators; before: hash of the word before, tails: the bytes before."""
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 + TAIL
         gap = b"\0" * TAIL
         data = np.frombuffer(gap + (b" " + gap).join(words) + b" ", np.uint8).copy()
@@ -167,24 +226,30 @@ class Coder:
         own[starts[:, None] + np.arange(TAIL)] = False
         at = np.flatnonzero(own)
         word = np.repeat(np.arange(len(words)), sizes - TAIL)
-        place = at - starts[word] - TAIL
         last = data.astype(np.uint64)
         near = last[at - 1] + (last[at - 2] << _U(8))
         three = near + (last[at - 3] << _U(16))
         four = three + (last[at - 4] << _U(24))
-        so_far = np.zeros(len(at), np.uint64)
-        for j in range(1, WORD_BYTES + 1):
-            so_far = so_far * _U(257) + np.where(place >= j, last[np.maximum(at - j, 0)], _U(0)) + _U(1)
-        contexts = [near, three * _ODD[3] + kinds[word].astype(np.uint64), four, so_far, so_far * _ODD[3] + before[word]]
-        which, entry = self.bytes.entries(data[at])
-        return word[which], self._slots(contexts, which, self.bytes.node[entry], 1), self.bytes.bit[entry]
+        # the word so far: a sum of its bytes by rising powers, which is the same wherever it stands
+        powers = np.cumprod(np.full(len(data), _POWER, np.uint64))
+        sums = np.cumsum((last + _U(1)) * powers) - (last + _U(1)) * powers
+        begin = (starts + TAIL)[word]
+        inverse = np.cumprod(np.full(len(data), _INVERSE, np.uint64))
+        so_far = (sums[at] - sums[begin]) * inverse[begin] + (at - begin).astype(np.uint64)
+        hashes = [near, three * _ODD[3] + kinds[word].astype(np.uint64), four, so_far, so_far * _ODD[3] + before[word]]
+        symbols = last[at - 1].astype(np.int64) * 256 + data[at]
+        first = np.flatnonzero(at == begin)
+        symbols[first] = 32 * 256 + data[at[first]].astype(np.int64)
+        lengths = self.byte_lengths[symbols]
+        bits, nodes, begins = bits_of(self.byte_codes[symbols], lengths)
+        return begins[first], self._slots([_mixed(h, 2 * k + 1) for k, h in enumerate(hashes)], lengths, nodes), bits
 
     def parts(self, words: list[bytes], kinds: np.ndarray, first: np.ndarray, ids: np.ndarray | None = None):
-        """(owner, slots, bits, phase) of all bits of the tokens, word codes and spellings; ``first`` marks tokens that begin a text."""
+        """(tokens, where the bits of each begin, slots, bits, phase), of word codes and of spellings; ``first`` marks tokens that begin a text."""
         ids = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words)) if ids is None else ids
         rare = np.flatnonzero(ids < 0)
         hashes, tails = self.hash[ids], self.tail[ids]
-        spelt = [words[i] for i in rare]
+        spelt = [words[i] for i in rare.tolist()]
         hashes[rare] = np.fromiter(map(zlib.crc32, spelt), np.uint64, len(rare)) + _U(1)
         tails[rare] = np.fromiter(map(_tail, spelt), np.uint64, len(rare))
         tails, one = _later(tails, first), _later(hashes, first)
@@ -193,47 +258,49 @@ class Coder:
         kind = kinds.astype(np.uint64) + _U(1)
         for a in range(0, len(words), TOKENS):
             b = min(a + TOKENS, len(words))
-            which, entry = self.words.entries(symbols[a:b])
+            lengths = self.word_lengths[symbols[a:b]]
+            bits, nodes, begins = bits_of(self.word_codes[symbols[a:b]], lengths)
             contexts = [np.zeros(b - a, np.uint64), kind[a:b], tails[a:b], one[a:b], two[a:b]]
-            yield a + which, self._slots(contexts, which, self.words.node[entry], 0), self.words.bit[entry], 0
+            yield slice(a, b), begins, self._slots([_mixed(c, 2 * k) for k, c in enumerate(contexts)], lengths, nodes), bits, 0
             i, j = np.searchsorted(rare, [a, b])
             if i < j:
                 block = rare[i:j]
-                owner, slots, bits = self.spelled(spelt[i:j], kinds[block], one[block], tails[block])
-                yield block[owner], slots, bits, 1
+                begins, slots, bits = self.spelled(spelt[i:j], kinds[block], one[block], tails[block])
+                yield block, begins, slots, bits, 1
 
 
 @dataclass
 class Mixer:
     """Bit counts, gated weights and the adaptive map. The gate is how often the two longest contexts were seen."""
 
-    counts: np.ndarray  # predictors x slots x 2
+    counts: list[np.ndarray]  # of each predictor: slots x 2
     weights: np.ndarray  # (predictors + 1) x gates
     ones: np.ndarray  # gates * buckets
     total: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> Mixer:
+    def of(cls, counts: list[np.ndarray]) -> Mixer:
         start = np.array([0.1, 0.1, 0.2, 0.3, 0.3, 0], np.float32)
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - 16) / 2.0))
         return cls(counts, np.tile(start[:, None], (1, _GATES)), np.tile(centre * 2, _GATES), np.full(_GATES * _BUCKETS, 2.0))
 
     def frozen(self) -> Mixer:
         """For prediction only: without the counts."""
-        out = Mixer(np.empty(0), self.weights, self.ones, self.total)
-        out.__dict__.update(stretch=self.stretch, levels=self.levels, bit_log_table=self.bit_log_table)
+        out = Mixer([], self.weights, self.ones, self.total)
+        out.__dict__.update(stretch=self.stretch, levels=self.levels, mapped=self.mapped)
         return out
 
     @cached_property
-    def stretch(self) -> np.ndarray:
-        out = np.empty(self.counts.shape[:2], np.float32)
-        for k, n in enumerate(self.counts):
-            out[k] = np.log((n[:, 1] + np.float32(_PRIOR)) / (n[:, 0] + np.float32(_PRIOR)))
-        return out
+    def stretch(self) -> list[np.ndarray]:
+        return [np.log((n[:, 1] + np.float32(_PRIOR)) / (n[:, 0] + np.float32(_PRIOR))) for n in self.counts]
+
+    @cached_property
+    def levels(self) -> list[np.ndarray]:
+        return [self._level(n[:, 0] + n[:, 1]) for n in self.counts[-2:]]
 
     @cached_property
-    def levels(self) -> np.ndarray:
-        return np.stack([self._level(self.counts[k, :, 0] + self.counts[k, :, 1]) for k in (-2, -1)])
+    def mapped(self) -> np.ndarray:
+        return (self.ones / self.total).astype(np.float32)
 
     @staticmethod
     def _level(seen: np.ndarray) -> np.ndarray:
@@ -242,66 +309,64 @@ class Mixer:
 
     @staticmethod
     def _gate(shorter: np.ndarray, longer: np.ndarray, phase: int) -> np.ndarray:
-        return longer.astype(np.int32) * np.int32(_LEVELS) + shorter + np.int32(_LEVELS * _LEVELS * phase)
+        return longer.astype(np.int64) * _LEVELS + (shorter + np.int8(_LEVELS * _LEVELS * phase))
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.weights[PREDICTORS][gate]
+        z = self.weights[PREDICTORS].take(gate)
         for k in range(PREDICTORS):
-            z += self.weights[k][gate] * x[k]
-        return np.clip(z, -14, 14)
+            part = self.weights[k].take(gate)
+            part *= x[k]
+            z += part
+        return np.clip(z, -14, 14, out=z)
 
     @staticmethod
     def cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return gate * _BUCKETS + np.clip(np.rint(z * 2).astype(np.int64) + 16, 0, _BUCKETS - 1)
-
-    @cached_property
-    def bit_log_table(self) -> np.ndarray:
-        """log2 of the probability of a bit, by gate, mix in steps of 1 / _STEPS, and bit: half mix, half map."""
-        z = np.arange(-14 * _STEPS, 14 * _STEPS + 1) / _STEPS
-        gate = np.repeat(np.arange(_GATES), len(z))
-        mapped = (self.ones / self.total)[self.cell(np.tile(z, _GATES), gate)]
-        p = np.clip(0.5 / (1 + np.exp(-np.tile(z, _GATES))) + 0.5 * mapped, 1e-6, 1 - 1e-6)
-        return np.log2(np.stack([1 - p, p], axis=1)).ravel()
-
-    def bit_logs(self, slots: np.ndarray, bits: np.ndarray, phase: int) -> np.ndarray:
-        """log2 of the probability of each bit; a mix counts to the next step."""
-        gate = self._gate(self.levels[0][slots[-2]], self.levels[1][slots[-1]], phase)
-        z = self.mix([self.stretch[k][slots[k]] for k in range(PREDICTORS)], gate)
-        z *= _STEPS
-        at = np.rint(z, out=z).astype(np.int32) + np.int32(14 * _STEPS)
-        return self.bit_log_table[((gate * np.int32(28 * _STEPS + 1) + at) << 1) + bits]
-
-    def learn(self, slots: np.ndarray, bits: np.ndarray, phase: int, squares: np.ndarray, rate: float = 0.05) -> None:
+        near = np.rint(z * np.float32(2)).astype(np.int64)
+        np.clip(near, -16, _BUCKETS - 17, out=near)
+        near += 16
+        near += gate * _BUCKETS
+        return near
+
+    def bit_logs(self, slots: list[np.ndarray], bits: np.ndarray, phase: int) -> np.ndarray:
+        """log2 of the probability of each bit: half mix, half map."""
+        gate = self._gate(self.levels[0].take(slots[-2]), self.levels[1].take(slots[-1]), phase)
+        z = self.mix([s.take(at) for s, at in zip(self.stretch, slots, strict=True)], gate)
+        mapped = self.mapped.take(self.cell(z, gate))
+        p = np.float32(0.5) / (np.float32(1) + np.exp(-z)) + np.float32(0.5) * mapped
+        np.clip(p, 1e-6, 1 - 1e-6, out=p)
+        return np.log2(np.where(bits, p, np.float32(1) - p))
+
+    def learn(self, slots: list[np.ndarray], bits: np.ndarray, phase: int, squares: np.ndarray, rate: float = 0.05) -> None:
         """Online: predict a block of bits from what came before, move the weights and the map by it, then count it."""
-        for at in range(0, len(bits), 16384):
-            s, y = slots[:, at : at + 16384], bits[at : at + 16384]
-            x, seen = [], []
-            for k in range(PREDICTORS):
-                n = self.counts[k][s[k]]
-                x.append(np.log((n[:, 1] + np.float32(_PRIOR)) / (n[:, 0] + np.float32(_PRIOR))))
-                if k >= PREDICTORS - 2:
-                    seen.append(self._level(n[:, 0] + n[:, 1]))
-            gate = self._gate(*seen, phase)
-            z = self.mix(x, gate)
-            cell = self.cell(z, gate)
-            self.ones += np.bincount(cell, y, len(self.ones))
-            self.total += np.bincount(cell, minlength=len(self.total))
-            error = y - 1 / (1 + np.exp(-z))
-            of_gate = np.maximum(np.bincount(gate, minlength=_GATES), 1)
-            step = np.stack([np.bincount(gate, error * v, _GATES) for v in x] + [np.bincount(gate, error, _GATES)]) / of_gate
-            squares += step * step
-            self.weights += (rate * step / np.sqrt(squares + 1e-8)).astype(np.float32)
-            for k in range(PREDICTORS):
-                np.add.at(self.counts[k].reshape(-1), s[k].astype(np.intp) * 2 + y, np.float32(1))
-
-    def token_logs(self, coder: Coder, words: list[bytes], kinds: np.ndarray, first: np.ndarray | None = None, ids: np.ndarray | None = None) -> np.ndarray:
-        """log2 of the probability of each token after those before it; without ``first`` each is a text's first."""
-        out = np.zeros(len(words))
-        for owner, slots, bits, phase in coder.parts(words, kinds, np.ones(len(words), bool) if first is None else first, ids):
-            low = int(owner[0])
-            got = np.bincount(owner - low, self.bit_logs(slots, bits, phase))
-            out[low : low + len(got)] += got
-        return out
+        prior, x, seen = np.float32(_PRIOR), [], []
+        for k in range(PREDICTORS):
+            n = self.counts[k].reshape(-1).view(np.complex64).take(slots[k])
+            if k >= PREDICTORS - 2:
+                seen.append(self._level(n.real + n.imag))
+            ratio = n.imag + prior
+            ratio /= n.real + prior
+            x.append(np.log(ratio, out=ratio))
+        gate = self._gate(*seen, phase)
+        z = self.mix(x, gate)
+        cell = self.cell(z, gate)
+        self.ones += np.bincount(cell, bits, len(self.ones))
+        self.total += np.bincount(cell, minlength=len(self.total))
+        error = bits - np.float32(1) / (np.float32(1) + np.exp(-z))
+        of_gate = np.maximum(np.bincount(gate, minlength=_GATES), 1)
+        step = np.stack([np.bincount(gate, error * v, _GATES) for v in x] + [np.bincount(gate, error, _GATES)]) / of_gate
+        squares += step * step
+        self.weights += (rate * step / np.sqrt(squares + 1e-8)).astype(np.float32)
+        for k in range(PREDICTORS):
+            at = slots[k] * 2
+            at += bits
+            np.add.at(self.counts[k].reshape(-1), at, np.float32(1))
+
+    def token_logs(self, coder: Coder, words: list[bytes], kinds: np.ndarray, first: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log2 of the probability of each token's code after the tokens before it, and of its spelling, 0 where it has none; without ``first`` each is a text's first."""
+        codes, spellings = np.zeros(len(words)), np.zeros(len(words))
+        for which, begins, slots, bits, phase in coder.parts(words, kinds, np.ones(len(words), bool) if first is None else first, ids):
+            (spellings if phase else codes)[which] = np.add.reduceat(self.bit_logs(slots, bits, phase), begins, dtype=np.float64)
+        return codes, spellings
 
 
 def tokens_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -354,7 +419,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             for t in as_bytes(batch.column(0)):
                 held.update(lowered_words(t))
                 held[END] += 1
-                if len(held) > 400_000:
+                if len(held) > 600_000:
                     yield from rows()
         yield from rows()
 
@@ -368,61 +433,84 @@ class Model:
     distinct: int
     coder: Coder
     mixer: Mixer
-    head_gains: np.ndarray  # of each rank: log10(c + 1)
+    single: float  # share of the spelled training words that occur once
+
+
+def frequent(counts: DataFrame, tokens: int) -> list[tuple[bytes, int]]:
+    """The words that have a code of their own and their counts: all from a count on that leaves no more than the limit, which follows the tokens up to HEAD."""
+    most = max(1 << 15, min(HEAD, tokens // TOKENS_A_WORD))
+    last = 1 << 14
+    sizes = counts.filter(F.col("c") >= HEAD_LEAST).groupBy(F.least("c", F.lit(last)).alias("c")).count().orderBy(F.desc("c")).collect()  # a row for each count up to ``last``
+    least, held = None, 0
+    for c, n in sizes:
+        if held + n > most and least is not None:
+            break
+        least, held = c, held + n
+    if least is None:
+        return []
+    rows = counts.filter(F.col("c") >= least).select("word", "c")
+    rows = rows.orderBy(F.desc("c"), "word").limit(most) if held > most else rows  # more than the limit occur ``last`` times or more
+    return [(bytes(r[0]), r[1]) for r in rows.collect()]
 
 
 def learn(df: DataFrame, text: str = "text") -> Model:
     """A model of all texts of df. Without any text it knows nothing: N and V are 0 and every bit has its prior."""
     spark = df.sparkSession
     counts = stored(word_counts(df, text))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("c") >= HEAD_LEAST).orderBy(F.desc("c"), "word").limit(HEAD).select("word", "c").collect()
-    known = [r[1] for r in top]
+    tokens, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") == 1).cast("bigint")), F.lit(0))).first()
+    top = frequent(counts, int(tokens))
+    known = [c for _, c in top]
     slot_bits = min(max(LEAST_SLOT_BITS, int(tokens).bit_length()), SLOT_BITS)
-    coder = Coder([bytes(r[0]) for r in top], known, tokens - sum(known), slot_bits)
+    coder = Coder([w for w, _ in top], known, int(tokens) - sum(known), slot_bits)
     shared = spark.sparkContext.broadcast(coder)
-    blank = (PREDICTORS, 1 << slot_bits, 2)
-    size = PREDICTORS * (2 << slot_bits) // CHUNKS
+    sizes = [1 << b for b in coder.slot_bits]
+    total = 2 * sum(sizes)
+    size = total // CHUNKS
+
+    def tables(flat: np.ndarray) -> list[np.ndarray]:
+        return [x.reshape(-1, 2) for x in np.split(flat, np.cumsum([2 * n for n in sizes])[:-1])]
 
     def online(batches):
-        c, m = shared.value, Mixer.of(np.zeros(blank, np.float32))
+        flat = np.zeros(total, np.float32)
+        c, m = shared.value, Mixer.of(tables(flat))
         m.ones, m.total = np.zeros_like(m.ones), np.zeros_like(m.total)
         squares = np.zeros_like(m.weights)
         for batch in batches:
             for group in blocks_of(as_bytes(batch.column(0))):
-                words, kinds, sizes = tokens_of(group)
-                for _, slots, bits, phase in c.parts(words, kinds, firsts(sizes)):
+                words, kinds, lengths = tokens_of(group)
+                for _, _, slots, bits, phase in c.parts(words, kinds, firsts(lengths)):
                     m.learn(slots, bits, phase, squares)
         seen = m.total.reshape(_GATES, _BUCKETS).sum(axis=1)
         if seen.any():
             row = [m.weights.astype(np.float64) * seen, seen, m.ones, m.total]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "n": pa.array([np.concatenate([a.ravel() for a in row]).tobytes()], pa.binary())})
-        flat = m.counts.ravel()
         for k in range(CHUNKS):
-            if flat[k * size : (k + 1) * size].any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([flat[k * size : (k + 1) * size].tobytes()], pa.binary())})
+            part = flat[k * size : (k + 1) * size]
+            if part.any():
+                small = part.max() < 1 << 16
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([(part.astype(np.uint16) if small else part.astype(np.float64)).tobytes()], pa.binary())})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.float64 if k < 0 else np.float32)
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.uint16 if len(n) == 2 * size and k >= 0 else np.float64).astype(np.float64)
         for k, n in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([n.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "n": pa.array([(n if k < 0 else n.astype(np.float32)).tobytes()], pa.binary())})
 
     kind = "chunk int, n binary"
-    found = np.zeros(PREDICTORS * (2 << slot_bits), np.float32)
-    mixer = Mixer.of(found.reshape(blank))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(tokens) // TASK_TOKENS)
+    found = np.zeros(total, np.float32)
+    mixer = Mixer.of(tables(found))
+    tasks = max(spark.sparkContext.defaultParallelism, int(tokens) // TASK_TOKENS)
     rows = stored(df.select(text_of(text).alias("text")).coalesce(tasks).mapInArrow(online, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind))
     for r in rows.toLocalIterator():  # the tables, of bounded size, a part at a time
         if r["chunk"] >= 0:
             found[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.float32)
             continue
-        w, seen, ones, total = np.split(np.frombuffer(r["n"]), np.cumsum([mixer.weights.size, _GATES, mixer.ones.size]))
-        mixer.ones, mixer.total = mixer.ones + ones, mixer.total + total
+        w, seen, ones, totals = np.split(np.frombuffer(r["n"]), np.cumsum([mixer.weights.size, _GATES, mixer.ones.size]))
+        mixer.ones, mixer.total = mixer.ones + ones, mixer.total + totals
         mixer.weights = np.where(seen > 0, w.reshape(mixer.weights.shape) / np.maximum(seen, 1e-9), mixer.weights).astype(np.float32)
-    return Model(counts, int(tokens), int(distinct), coder, mixer, np.log10([c + 1.0 for c in known]))
+    return Model(counts, int(tokens), int(distinct), coder, mixer, min(0.95, max(0.05, once / max(1, coder.rest))))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -430,29 +518,31 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
     A null text counts as empty: its only token is the end. ``score`` is the model's
     log10 probability of the tokens, ``base_score`` that of the add-one word counts;
-    bits_per_byte is null where there is no byte. Each text is scored whole and by itself. Input
+    bits_per_byte is null where there is no byte. Each text is scored whole and by itself, however
+    long, so repeated rows have equal scores; an empty table gives no rows. Input
     columns named like a result are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != text and c.lower() not in RESULTS]
-    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer.frozen(), model.head_gains))
+    shared = df.sparkSession.sparkContext.broadcast((model.coder, model.mixer.frozen()))
 
     def start():
-        coder, mixer, gains = shared.value
+        coder, mixer = shared.value
+        gains = np.log10(coder.counts + 1.0)
 
         def block(texts: list[bytes]) -> list:
             words, kinds, sizes = tokens_of(texts)
             ids = np.fromiter(map(coder.rank.get, words, repeat(-1)), np.int64, len(words))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            begins = np.cumsum(sizes) - sizes
             head = ids >= 0
-            known = np.bincount(doc[head], minlength=len(sizes))
-            base = np.bincount(doc[head], gains[ids[head]], len(sizes))
-            logs = np.bincount(doc, mixer.token_logs(coder, words, kinds, firsts(sizes), ids), len(sizes))
-            rare, at = list(compress(words, ~head)), np.flatnonzero(~head)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(sizes)))])
-            rare_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))
-            counts, sums = (sizes, known), (base, logs)  # sums over nothing come as integers
-            out = [pa.array(x, pa.int64()) for x in counts] + [pa.array(x.astype(np.float64)) for x in sums]
-            return [*out, pa.array([len(t) for t in texts], pa.int64()), rare_of]
+            known = np.add.reduceat(head, begins, dtype=np.int64)
+            base = np.add.reduceat(np.append(gains, 0.0)[ids], begins)
+            codes, spellings = mixer.token_logs(coder, words, kinds, firsts(sizes), ids)
+            at = np.flatnonzero(~head)
+            ends = np.concatenate([[0], np.cumsum(sizes - known)])
+            pairs = pa.StructArray.from_arrays([pa.array(list(compress(words, ~head)), pa.binary()), pa.array(spellings[at])], ["word", "spelled"])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            out = [pa.array(x, pa.int64()) for x in (sizes, known)] + [pa.array(x) for x in (base, np.add.reduceat(codes, begins))]
+            return [*out, pa.array([len(t) for t in texts], pa.int64()), rare]
 
         def run(texts: pa.Array):
             done = [block(group) for group in blocks_of(as_bytes(texts))]
@@ -460,25 +550,32 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
         return run
 
-    fields = "n_tokens bigint, known bigint, base double, logs double, n_bytes bigint, rare array<binary>"
+    fields = "n_tokens bigint, known bigint, base double, codes double, n_bytes bigint, rare array<struct<word: binary, spelled: double>>"
     rows = stored(map_batches(df, keep, [text_of(text)], fields, start).withColumn("__row", F.monotonically_increasing_id()))
-    rare = rows.select("__row", F.explode("rare").alias("word"))
-    found = rare.join(model.counts, "word").groupBy(F.col("__row").alias("__of")).agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"))
+    rare = rows.select("__row", F.explode("rare").alias("r")).select("__row", "r.*")
+    # a spelled word's probability, in base 2: of its spelling and of its share of the spelled training words
+    listed = F.log2(F.col("c") / F.lit(float(max(1, model.coder.rest)))) + math.log2(1 - model.single)
+    own = F.col("spelled") + math.log2(model.single)
+    high, low = F.greatest(own, listed), F.least(own, listed)
+    spelled = F.when(F.col("c").isNull(), own).otherwise(high + F.log2(1 + F.pow(F.lit(2.0), low - high)))
+    found = rare.join(model.counts, "word", "left").groupBy(F.col("__row").alias("__of")).agg(F.count("c").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("gain"), F.sum(spelled).alias("spelled"))
     n = model.train_tokens
     joined = rows.join(found, F.col("__row") == F.col("__of"), "left")
+    logs = F.col("codes") + F.coalesce("spelled", F.lit(0.0))
     return joined.select(
         *[F.col(f"`{c}`") for c in keep],
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + model.distinct + 1))).alias("base_score"),
-        (F.col("logs") * math.log10(2)).alias("score"),
+        (logs * math.log10(2)).alias("score"),
         "n_bytes",
-        (-F.col("logs") / F.nullif(F.col("n_bytes"), F.lit(0))).alias("bits_per_byte"),
+        (-logs / F.nullif(F.col("n_bytes"), F.lit(0))).alias("bits_per_byte"),
     )
 
 
 def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 7) == 2
     model = learn(documents.filter(~held_out))

@@ -424,10 +424,33 @@ def test_bits_make_probabilities(spark):
     letters = [bytes([b]) for b in range(33, 127)]
     words = [a + b for a in letters for b in letters] + letters + [lm.END]
     for kind in (0, 3):
-        total = np.exp2(model.mixer.token_logs(model.coder, words, np.full(len(words), kind))).sum()
-        assert 0 < total <= 1
-    code = lm.prefix_code([5, 1, 1, 9])
-    assert sum(2.0 ** -len(c) for c in code) == 1
+        codes, spellings = model.mixer.token_logs(model.coder, words, np.full(len(words), kind))
+        assert 0 < np.exp2(codes + spellings).sum() <= 1
+        assert 0 < np.exp2(spellings[spellings < 0]).sum() <= 1
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 40, 5000):
+        counts = (1000 * rng.pareto(0.7, n)).astype(int) + 1
+        lengths = lm.code_lengths(counts)
+        codes = [bin(c)[3:] for c in lm.canonical(lengths).tolist()]
+        assert [len(c) for c in codes] == lengths.tolist() and (n == 1 or sum(2.0 ** -len(c) for c in codes) == 1)
+        assert n > 40 or not any(a != b and b.startswith(a) for a in codes for b in codes)
+    assert sum(lm.code_lengths(np.array([1, 1, 2, 4])) * [1, 1, 2, 4]) == 14
+
+
+def test_held_out_texts_score_above_the_word_counts(spark):
+    """Where words are seen often enough, mixed contexts beat the add-one counts on held-out texts, and texts that occur twice score apart."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    held_out = common.remainder("doc_id", 7) == 2
+    model = lm.learn(docs.filter(~held_out).unionByName(docs.filter(~held_out & (F.col("doc_id") % 5 == 0))))
+    rows = lm.score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out).collect()
+    per_token = lambda chosen, c: sum(r[c] for r in chosen) / sum(r.n_tokens for r in chosen)
+    held = [r for r in rows if r.held_out]
+    # of words that training knows well: the rest costs a spelling, which add-one counts do not pay
+    known = [r for r in held if r.n_known == r.n_tokens]
+    assert known and per_token(known, "score") > per_token(known, "base_score")
+    trained = [r for r in rows if not r.held_out]
+    gain = lambda chosen: per_token(chosen, "score") - per_token(chosen, "base_score")
+    assert gain([r for r in trained if r.doc_id % 5 == 0]) > gain([r for r in trained if r.doc_id % 5]) > gain(held)
 
 
 def test_score_depends_on_the_words_before(spark):
@@ -448,7 +471,7 @@ def test_score_depends_on_the_words_before(spark):
     got = {(r.i, r.shuffled): r.score for r in lm.score(spark.createDataFrame(rows, "i int, shuffled int, text string"), model).collect()}
     assert all(got[i, 0] > got[i, 1] + 10 for i in range(len(held)))
     # spelled words see bytes across the border: an unseen word after two different words
-    logs = [model.mixer.token_logs(model.coder, [w, b"unseen"], np.zeros(2, int), np.array([True, False]))[1] for w in (b"w1", b"w22")]
+    logs = [model.mixer.token_logs(model.coder, [w, b"unseen"], np.zeros(2, int), np.array([True, False]))[1][1] for w in (b"w1", b"w22")]
     assert logs[0] != logs[1]
 
 
