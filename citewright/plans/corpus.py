@@ -241,7 +241,7 @@ def _tone(word: str) -> str:
 
 
 @query(
-    f"""WITH v AS ({_COUNTED.format('documents')}), q AS ({_COUNTED.format('(SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)')}), x AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM v), y AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM q WHERE word NOT IN (SELECT word FROM v))
+    f"""WITH v AS ({_COUNTED.format('documents')}), q AS ({_COUNTED.format('(SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)')}), x AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM v), y AS (SELECT word, {_without_tone('word')} AS base, {_tone('word')} AS tone FROM q WHERE word NOT IN (SELECT word FROM v)),
 k AS (SELECT word, base, tone, unnest(list_distinct(list_concat([base], list_transform(range(1, length(base) + 1), lambda i: substr(base, 1, i - 1) || substr(base, i + 1))))) AS k FROM x), m AS (SELECT word, base, tone, unnest(list_distinct(list_concat([base], list_transform(range(1, length(base) + 1), lambda i: substr(base, 1, i - 1) || substr(base, i + 1))))) AS k FROM y),
 c AS (SELECT DISTINCT m.word, k.word AS candidate, m.base AS a, k.base AS b, m.tone != k.tone AS differ FROM m JOIN k USING (k))
 SELECT word, candidate, distance FROM (SELECT word, candidate, levenshtein(translate(a, '{_WIDE}', '{_NARROW}'), translate(b, '{_WIDE}', '{_NARROW}')) + CASE WHEN differ THEN 0.5 ELSE 0 END AS distance FROM c) WHERE distance <= 1.5"""
