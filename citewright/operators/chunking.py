@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from citewright.functions import text as T
 from citewright.operators.corpus import halve, in_force, wanted
@@ -35,7 +36,7 @@ def short_name(doc_id: Column) -> Column:
     return F.coalesce(F.concat(named, F.lit(" "), written), doc_id)
 
 
-@F.pandas_udf("array<struct<text:string,opens:boolean,closes:boolean>>")
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("opens", BooleanType()), StructField("closes", BooleanType())])))
 def fitted(pieces: pd.Series, room: pd.Series) -> pd.Series:
     """Pieces that have at most ``room`` words each: a longer one as its sentences, a longer sentence as halves of halves.
 

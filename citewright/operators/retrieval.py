@@ -9,12 +9,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewright.functions import text as T
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows of a set of queries that several later steps read, worked out once: in the checkpoint folder or, without one, kept on the executors' disks, where a lost part is made again."""
+    context = df.sparkSession.sparkContext
+    return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else df.persist(StorageLevel.DISK_ONLY)
+
+
 def _postings(docs: DataFrame, terms: DataFrame, words: Column) -> DataFrame:
     """(doc_id, dl, term, tf) of the terms given only: the others never leave the map side."""
     tokenised = docs if "w" in docs.columns else docs.select("doc_id", words.alias("w"))

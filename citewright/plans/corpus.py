@@ -281,14 +281,17 @@ def question_parts(spark, sf_dir):
 
 @query()
 def answers(spark, sf_dir):
-    """Items answered by quotation from the documents, or refused."""
+    """Items spelled, split and answered by quotation from the documents, or refused."""
+    from citewright.operators import pipeline as P
     from citewright.operators import retrieval as R
 
     d = docs(spark, sf_dir)
-    chunks = d.select("doc_id", F.lit("Corpus").alias("title"), F.col("doc_id").cast("string").alias("article"), F.lit(None).cast("string").alias("clause"), "text")
-    parts = items(spark, sf_dir).select("query_id", F.lit(0).alias("part"), F.col("text").alias("question"))
+    chunks = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("Corpus").alias("title"), F.col("doc_id").cast("string").alias("article"), F.lit(None).cast("string").alias("clause"), "text", "source", F.col("source").alias("article_title"), F.col("doc_id").alias("pos")
+    )
+    questions = items(spark, sf_dir).select("query_id", F.col("text").alias("question"))
     vocabulary = d.select(F.explode(F.array_distinct(T.syllables(F.col("text")))).alias("term")).distinct()
-    found = A.answer(parts, lambda q: R.top_k(R.bm25(d, q), 5), chunks, vocabulary, A.line_idf(d), threshold=20.0)
+    found = A.answer_questions(questions, lambda q: R.top_k(P.routed_bm25(d, q), A.ASPECT_POOL), chunks, vocabulary, A.line_idf(d), 20.0, (A.word_counts(d), A.bigrams(d)))
     return A.whole_answers(found)
 
 

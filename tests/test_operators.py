@@ -1,10 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from citewright.functions import text as T
 from citewright.operators import answering as A
+from citewright.operators import chunking as K
 from citewright.operators import corpus as C
 from citewright.operators import evaluation as E
 from citewright.operators import log as L
+from citewright.operators import pipeline as P
+from citewright.operators import reports as RE
 from citewright.operators import retrieval as R
 
 RUN = "query_id string, doc_id string, rank int"
@@ -123,11 +127,17 @@ def test_splits(spark):
     assert C.double_sample(groups).count() == 8
 
 
-def test_intents():
-    split = A.split_intents
-    assert split("Kết hôn cần giấy gì và nộp ở đâu?") == ["Kết hôn cần giấy gì", "Kết hôn nộp ở đâu"]
-    assert split("Nhận cha và mẹ cho con ở đâu?") == ["Nhận cha và mẹ cho con ở đâu?"]
-    assert split("Khai sinh cần giấy gì? Kết hôn mất bao lâu?") == ["Khai sinh cần giấy gì", "Kết hôn mất bao lâu"]
+def test_intents(spark):
+    asked = ["Kết hôn cần giấy gì và nộp ở đâu?", "Nhận cha và mẹ cho con ở đâu?", "Khai sinh cần giấy gì? Kết hôn mất bao lâu?", "", "ai, ai, ai, ai; ai", "Khai sinh nộp ở đâu, lệ phí bao nhiêu, mất mấy ngày, ai ký"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    got = {r[0]: r[1] for r in q.select("query_id", A.split_intents(F.col("question"))).collect()}
+    assert got[0] == ["Kết hôn cần giấy gì", "Kết hôn nộp ở đâu"] and got[1] == [asked[1]]
+    assert got[2] == ["Khai sinh cần giấy gì", "Kết hôn mất bao lâu"] and got[3] == [""]
+    assert got[4] == ["ai", "ai", "ai, ai, ai"]
+    assert got[5] == ["Khai sinh nộp ở đâu", "Khai sinh lệ phí bao nhiêu", "Khai sinh mất mấy ngày, ai ký"]
+    own = {(r.query_id, r.part): r.own for r in A.own_words(q).collect()}
+    assert own[0, 0] == "Kết hôn cần giấy gì" and own[0, 1] == "nộp ở đâu" and own[5, 1] == "lệ phí bao nhiêu"
+    assert A.question_parts(q).filter("query_id = 2").count() == 2
 
 
 def test_quotes(spark):
@@ -154,20 +164,111 @@ def test_answers(spark):
     assert out["ok"].answer == 'Theo Luật, Điều 15 Khoản 1: "Trong 60 ngày kể từ ngày sinh con phải đăng ký khai sinh"'
 
 
+def test_whole_chain(spark):
+    rows_ = [
+        ("c1", "Luật", "L", "15", "Đăng ký khai sinh", "1", "Trong 60 ngày kể từ ngày sinh con phải đăng ký khai sinh", 1, None),
+        ("c2", "Luật", "L", "18", "Đăng ký kết hôn", None, "Kết hôn nộp tờ khai tại xã", 2, ["op"]),
+        ("c3", "Luật", "L", "18", "Đăng ký kết hôn", "2", "Lời dẫn kết hôn\nHồ sơ gồm tờ khai kết hôn", 3, None),
+    ]
+    chunks = spark.createDataFrame(rows_, "doc_id string, title string, source string, article string, article_title string, clause string, text string, pos int, amended_by array<string>")
+    docs = chunks.select("doc_id", "text")
+    vocabulary = docs.select(F.explode(T.syllables(F.col("text"))).alias("term")).distinct()
+    asked = {"one": "khai sinh trong bao lâu", "two": "Kết hôn nộp ở đâu? Khai sinh trong bao lâu?", "foreign": "Kết hôn nộp ở đâu? Làm hộ chiếu ở đâu?", "none": "???", "aspect": "kết hôn cần giấy tờ gì"}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, question string")
+    retrieve = lambda x: R.top_k(R.bm25(docs, x), 20)
+    parts = A.answer_questions(q, retrieve, chunks, vocabulary, A.line_idf(docs), 0.1, (A.word_counts(docs), A.bigrams(docs))).cache()
+    got = {(r.query_id, r.part): r for r in parts.collect()}
+    assert set(got) == {("one", 0), ("two", 0), ("two", 1), ("foreign", 0), ("foreign", 1), ("none", 0), ("aspect", 0)}
+    assert got["one", 0].doc_id == "c1" and got["two", 0].reason is None and got["two", 1].doc_id == "c1"
+    assert got["foreign", 1].reason == "out_of_scope" and got["foreign", 0].reason is None and got["none", 0].reason == "empty"
+    assert got["aspect", 0].doc_id == "c3" and got["aspect", 0].quoted == ["Hồ sơ gồm tờ khai kết hôn"]  # the unit of the same article that lists documents
+    whole = {r.query_id: r for r in A.whole_answers(parts).collect()}
+    assert whole["none"].refused and not whole["foreign"].refused and whole["two"].answer.startswith("1. Theo Luật")
+    hits = retrieve(q.filter("query_id = 'aspect'").withColumnRenamed("question", "text")).withColumn("part", F.lit(0))
+    listed = A.sources(hits, parts.filter("query_id = 'aspect'"), chunks).orderBy("place").collect()
+    assert listed[0].doc_id == "c3" and listed[0].used and not any(r.used for r in listed[1:]) and len({r.doc_id for r in listed}) == len(listed)
+    marks = {r.query_id: r.notes for r in A.notes(parts.withColumn("doc_id", F.when(F.col("query_id") == "two", "c2").otherwise(F.col("doc_id"))), chunks).collect()}
+    assert marks["two"] == ["amended"] and marks["one"] == []
+
+
 def test_spelling_and_accents(spark):
     words = lambda *x: spark.createDataFrame([(w,) for w in x], "word string")
-    got = {(r.candidate, r.distance) for r in A.spell_candidates(words("khia"), words("khai", "kha", "khi", "khía", "đăng")).collect()}
-    assert got == {("kha", 1.0), ("khi", 1.0), ("khía", 0.5)}
+    got = {(r.candidate, r.distance) for r in A.spell_candidates(words("khia"), words("khai", "kha", "khi", "khía", "đăng", "khiă")).collect()}
+    assert got == {("kha", 1.0), ("khi", 1.0), ("khía", 0.5), ("khiă", 1.0)}
+    assert {(r.candidate, r.distance) for r in A.spell_candidates(words("đo"), words("do", "đơ", "đó")).collect()} == {("do", 1.0), ("đơ", 1.0), ("đó", 0.5)}
     texts = spark.createDataFrame([("đăng ký khai sinh, đăng ký kết hôn",)], "text string")
-    asked = spark.createDataFrame([("q", 0, "đăng"), ("q", 1, "kí")], "query_id string, i int, word string")
+    asked = spark.createDataFrame([("q", 1, "kí", "đăng", None)], "query_id string, i int, word string, before string, after string")
     fixes = A.correct(asked, A.spell_candidates(words("kí"), A.word_counts(texts)), A.bigrams(texts))
     assert rows(fixes, "i", "fix") == [(1, "ký")]
-    table = {"khai sinh": "khai sinh", "dang ky": "đăng ký", "ket": "kết", "hon": "hôn"}
-    assert A.restore("Dang ky, KET hon abc", table) == "Đăng ký, KẾT hôn abc"
+    q = spark.createDataFrame([("a", "Đăng kí khai sinn, kết hônn"), ("b", "dang ki"), ("c", "đăng Kí ở xã"), ("d", "đăng kí khii"), ("e", None)], "query_id string, question string")
+    out = {r.query_id: (r.spelled, r.fixes) for r in A.spelled(q, A.word_counts(texts), A.bigrams(texts)).collect()}
+    assert out["a"] == ("Đăng ký khai sinh, kết hôn", 3)
+    # without accents nothing is looked at, nor a capital within; a correction is the next word's left neighbour
+    assert out["b"] == ("dang ki", 0) and out["c"] == ("đăng Kí ở xã", 0) and out["d"] == ("đăng ký khai", 2) and out["e"] == ("", 0)
+    table = spark.createDataFrame([("khai sinh", "khai sinh"), ("dang ky", "đăng ký"), ("ket", "kết"), ("hon", "hôn")], "plain string, accented string")
+    q = spark.createDataFrame([("a", "Dang ky, KET hon abc"), ("b", "dang, ky"), ("c", None)], "query_id string, question string")
+    assert dict(rows(A.restore_questions(q, table), "query_id", "restored")) == {"a": "Đăng ký, KẾT hôn abc", "b": "dang, ky", "c": ""}
     q = spark.createDataFrame([("a", "dang ky khai sinh ntn"), ("b", "đăng ký ko")], "query_id string, question string")
     assert dict(rows(A.restore_questions(q, A.accent_table(texts)), "query_id", "restored")) == {"a": "đăng ký khai sinh như thế nào", "b": "đăng ký không"}
 
 
+def test_chunks(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    units = [
+        ("5.2020.QH14", 1, "1", "Short", None, None, "Whole text.", None, None), ("5.2020.QH14", 2, "2", "Long", None, None, "Lead.", ["op1"], "2024-01-02"), ("5.2020.QH14", 3, "2", "Long", "1", None, "One two three four five six", None, None),
+        ("5.2020.QH14", 4, "2", "Long", "2", None, "Head:", ["op2", "op1"], "2023-01-01"), ("5.2020.QH14", 5, "2", "Long", "2", "a", "first point of the clause", None, None), ("5.2020.QH14", 6, "2", "Long", "2", "b", "second point of it", None, None),
+        ("5.2020.QH14", 7, "3", "None", None, None, f"A sentence. {long}. End.", None, None), ("5.2020.QH14", 8, "4", "Gone", None, None, "Old text", None, None), ("9.2021.XX", 9, "1", "Other", None, None, "Not wanted", None, None),
+    ]
+    df = spark.createDataFrame(units, "doc_id string, pos int, article string, article_title string, clause string, point string, text string, amended_by array<string>, effective_from string")
+    df = df.withColumns({"effective_from": F.to_date("effective_from"), "status": F.when(F.col("article") == "4", "repealed").otherwise("active")})
+    sources = spark.createDataFrame([("5.2020.QH14", "u", "2024", "x;;y")], "doc_id string, url string, accessed_at string, affected_by string")
+    ops = spark.createDataFrame([("op1", "7.2023.ND-CP")], "op string, amending_doc string")
+    rules = spark.createDataFrame([("5.2020.QH14", None, None)], "doc_id string, article string, clause string")
+    out = {r.chunk_id: r for r in K.build_chunks(df, sources, ops, 22, rules).collect()}
+    assert sorted(k for k in out if "__D1" in k or "__D2" in k) == ["5.2020.QH14__D1", "5.2020.QH14__D2__K1", "5.2020.QH14__D2__K2__P1", "5.2020.QH14__D2__K2__P2"]
+    first = out["5.2020.QH14__D1"]
+    assert first.chunk_text == "Luật Hộ tịch 5/2020/QH14 | Điều 1. Short\nWhole text." and first.amended_by == [] and first.affected_by == ["x", "y"] and first.url == "u"
+    assert out["5.2020.QH14__D2__K1"].display_text == "Lead.\nOne two three four five six"
+    parts = [out[f"5.2020.QH14__D2__K2__P{i}"] for i in (1, 2)]
+    assert [p.display_text for p in parts] == ["Head:\na) first point of the clause", "b) second point of it"] and "Khoản 2 (phần 2)" in parts[1].chunk_text
+    assert parts[0].amended_by == ["7.2023.ND-CP", "op2"] and parts[0].amendment_ops == ["op1", "op2"] and str(parts[0].effective_from) == "2024-01-02"
+    third = [out[k] for k in sorted(out) if "__D3" in k]
+    assert third[0].display_text == "A sentence." and third[-1].display_text == "End." and all(r.n_tokens <= 22 for r in out.values())
+    assert " ".join(r.display_text for r in sorted(third, key=lambda r: r.part)) == f"A sentence. {long}. End."
+    assert not any("__D4" in k or "9.2021" in k for k in out)
+    some = spark.createDataFrame([("5.2020.QH14", "2", "2")], "doc_id string, article string, clause string")
+    assert {r.chunk_id for r in K.build_chunks(df, sources, ops, 200, some).collect()} == {"5.2020.QH14__D2__K2"}
+
+
+def test_freeze_and_reports(spark):
+    q = spark.createDataFrame([(1, "g1", "a", "x", "people"), (2, "g1", "b", "X ", "generated"), (3, "g2", "free", "z", "people"), (3, "g3", "odd", "y", "people")], "query_id int, group_id string, type string, question string, source string")
+    chunks = spark.createDataFrame([("c1", "t"), ("c1", "t"), ("c2", " ")], "chunk_id string, chunk_text string")
+    rel = spark.createDataFrame([(1, "c1", "1"), (1, "c1", "1"), (3, "c9", "3"), (8, "c1", "2")], "query_id int, chunk_id string, relevance string")
+    sources = spark.createDataFrame([("d1", "u", "2024", "ok"), ("d2", "u", None, "ok")], "doc_id string, url string, accessed_at string, status string")
+    splits = spark.createDataFrame([("g1", "train"), ("g1", "test"), ("g2", "test")], "group_id string, split string")
+    found = {(r.severity, r.rule, r.key) for r in RE.freeze_checks(chunks, q, rel, sources, splits, ("a", "b", "c", "free"), ("free",), ("train", "test")).collect()}
+    assert found == {
+        ("error", "source without url, date or status", "d2"), ("error", "repeated chunk", "c1"), ("error", "empty chunk", "c2"), ("error", "repeated question", "3"), ("error", "unknown type", "3"), ("error", "type without question", "c"),
+        ("warning", "repeated text", "x"), ("error", "label of no question", "8"), ("error", "label of no chunk", "3 c9"), ("error", "relevance other than 1 or 2", "3 c9"), ("error", "label of an unanswerable question", "3"),
+        ("error", "question without label", "2"), ("error", "repeated label", "1 c1"), ("error", "group in several splits", "g1"), ("error", "group in no split", "g3"), ("warning", "type missing from a split", "train free"),
+        ("warning", "type missing from a split", "train c"), ("warning", "type missing from a split", "test c"), ("warning", "generated question", "2"),
+    }
+    assert rows(RE.group_headers(q), "group_id", "kind", "n_questions") == [("g1", "a", 2), ("g2", "free", 1), ("g3", "odd", 1)]
+    values = spark.range(5000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("double").alias("v"))
+    want = {g: sorted(r.v for r in values.filter(F.col("g") == g).collect()) for g in range(3)}
+    assert {r.g: r.p for r in E.nearest_rank(values, "g", "v").collect()} == {g: x[round(0.95 * (len(x) - 1))] for g, x in want.items()}
+    assert {r.g: r.median for r in E.medians(values, "g", "v").collect()} == {g: (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2 for g, x in want.items()}
+    assert rows(E.numbered(values.select("v").distinct(), "v"), "i", "v") == list(enumerate(sorted({v for x in want.values() for v in x})))
+    assert {r.doc_id: r.pos for r in R.positions(spark.range(7, 5007).withColumnRenamed("id", "doc_id")).collect()} == {i: i - 6 for i in range(7, 5007)}
+
+
+def test_spec():
+    assert P.Spec().with_({"alpha": 0.5, "odd": 1, "threshold": None}).alpha == 0.5
+    for wrong in ({"pipeline": "x"}, {"fusion": "x"}):
+        with pytest.raises(ValueError):
+            P.Spec(**wrong)
+
+
 def test_log(spark):
     import datetime
 
