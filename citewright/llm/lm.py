@@ -42,7 +42,7 @@ END = b"\n"
 KINDS = 8
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 #: The most words that have a code of their own, and the training tokens for each.
-HEAD, TOKENS_A_WORD = 1 << 19, 64
+HEAD, TOKENS_A_WORD = 1 << 18, 64
 #: Rarer words are spelled, so that spelling is learned from words like those not seen yet.
 HEAD_LEAST = 3
 #: Limits of the table sizes, and training tokens of a learning task: its table is written once.
@@ -174,7 +174,13 @@ class Coder:
         self.counts = np.array([counts[i] for i in order], np.int64)
         self.rest = rest
         self.slot_bits = [slot_bits + (k >= PREDICTORS - 2) for k in range(PREDICTORS)]
+
+    def __getattr__(self, name: str):
+        """The codes and tables, worked out where they are first used: the driver needs none of them."""
+        if name.startswith("_") or "rank" in self.__dict__:
+            raise AttributeError(name)
         self.prepare()
+        return self.__dict__[name]
 
     def prepare(self) -> None:
         self.rank = {w: i for i, w in enumerate(self.head)}
@@ -200,7 +206,6 @@ class Coder:
 
     def __setstate__(self, state):
         self.head, self.counts, self.rest, self.slot_bits = state
-        self.prepare()
 
     def _slots(self, contexts: list[np.ndarray], lengths: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
         """Of each predictor, the slot of each bit; contexts: 32 bits for each symbol."""
@@ -450,7 +455,8 @@ def frequent(counts: DataFrame, tokens: int) -> list[tuple[bytes, int]]:
         return []
     rows = counts.filter(F.col("c") >= least).select("word", "c")
     rows = rows.orderBy(F.desc("c"), "word").limit(most) if held > most else rows  # more than the limit occur ``last`` times or more
-    return [(bytes(r[0]), r[1]) for r in rows.collect()]
+    found = rows.toArrow()
+    return list(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True))
 
 
 def learn(df: DataFrame, text: str = "text") -> Model:
