@@ -559,14 +559,39 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32, r.length) for r in corpus_pipeline.run(spark, SF).collect()) == parts
 
 
+def test_stages_against_plain_versions(spark):
+    """What each stage keeps of the one before, by the plain versions of its operators."""
+    import corpus_pipeline
+
+    first, lines_, near, clean, _ = (stage for _, stage in corpus_pipeline.STAGES)
+    held = lambda df: {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+    kept = common.stored(first(spark, common.table(spark, SF, "documents"), SF))
+    scored = quality.score(common.table(spark, SF, "documents"), quality.train(common.table(spark, SF, "documents"), common.table(spark, SF, "labels"), length=F.col("n_chars")), length=F.col("n_chars"))
+    assert set(held(kept)) == {r.doc_id for r in scored.filter("score >= 0.3").collect()}
+    short = common.stored(lines_(spark, kept, SF))
+    assert held(short) == {k: t for k, (t, _) in plain_lines(held(kept)).items()} and short.filter("n_chars != length(text)").count() == 0
+    single = common.stored(near(spark, short, SF))
+    groups = plain_components(held(short))
+    assert held(single) == {k: t for k, t in held(short).items() if groups[k][0] == k}
+    left = held(clean(spark, single, SF))
+    items = [(r.item_id, r.text) for r in common.table(spark, SF, "benchmark").collect()]
+    found = plain_search(list(held(single).items()), items)
+    assert left == {k: t for k, t in held(single).items() if not found[k][1]}
+
+
 def test_pipeline_on_odd_rows(spark, odd, empty):
     import corpus_pipeline
 
-    for source in (odd, empty):
-        docs = source.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.col("n_chars").alias("n_chars"))
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        docs.count()
+    for source, extra in ((odd, [F.col("n_chars").alias("n_chars"), F.lit(1).alias("kept")]), (empty, []), (odd, [])):
+        docs = source.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), *extra)
+        before = source.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.stored(stage(spark, docs, SF))
+            assert docs.columns == [c for c in corpus_pipeline.COLUMNS if c in source.columns or c in ("lang", "source")][: len(docs.columns)] and "kept" not in docs.columns
+            assert docs.count() <= before
+            before = docs.count()
+        keys = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == keys
 
 
 def test_batches_keep_columns(spark):
