@@ -167,8 +167,8 @@ def test_answers(spark):
 def test_whole_chain(spark):
     rows_ = [
         ("c1", "Luật", "L", "15", "Đăng ký khai sinh", "1", "Trong 60 ngày kể từ ngày sinh con phải đăng ký khai sinh", 1, None),
-        ("c2", "Luật", "L", "18", "Đăng ký kết hôn", None, "Kết hôn nộp tờ khai tại xã", 2, ["op"]),
-        ("c3", "Luật", "L", "18", "Đăng ký kết hôn", "2", "Lời dẫn kết hôn\nHồ sơ gồm tờ khai kết hôn", 3, None),
+        ("c2", "Luật", "L", "18", "Đăng ký kết hôn", None, "Kết hôn đăng ký tại xã", 2, ["op"]),
+        ("c3", "Luật", "L", "18", "Đăng ký kết hôn", "2", "Lời dẫn\nHồ sơ gồm bản khai", 3, None),
     ]
     chunks = spark.createDataFrame(rows_, "doc_id string, title string, source string, article string, article_title string, clause string, text string, pos int, amended_by array<string>")
     docs = chunks.select("doc_id", "text")
@@ -181,7 +181,7 @@ def test_whole_chain(spark):
     assert set(got) == {("one", 0), ("two", 0), ("two", 1), ("foreign", 0), ("foreign", 1), ("none", 0), ("aspect", 0)}
     assert got["one", 0].doc_id == "c1" and got["two", 0].reason is None and got["two", 1].doc_id == "c1"
     assert got["foreign", 1].reason == "out_of_scope" and got["foreign", 0].reason is None and got["none", 0].reason == "empty"
-    assert got["aspect", 0].doc_id == "c3" and got["aspect", 0].quoted == ["Hồ sơ gồm tờ khai kết hôn"]  # the unit of the same article that lists documents
+    assert got["aspect", 0].doc_id == "c3" and got["aspect", 0].quoted == ["Hồ sơ gồm bản khai"]  # the unit of the same article that lists documents
     whole = {r.query_id: r for r in A.whole_answers(parts).collect()}
     assert whole["none"].refused and not whole["foreign"].refused and whole["two"].answer.startswith("1. Theo Luật")
     hits = retrieve(q.filter("query_id = 'aspect'").withColumnRenamed("question", "text")).withColumn("part", F.lit(0))
