@@ -475,6 +475,95 @@ def test_score_depends_on_the_words_before(spark):
     assert logs[0] != logs[1]
 
 
+def test_tokens_of_many_texts_at_once():
+    """Words, kinds and sizes are those of lower() and split(), text by text."""
+    made = ["", " ", "\n", "a", "A b\tc\x0b\x0cd\r\n", "\x1cx \x85y\xa0 Ä ä", "Привет мир abc", " é", "a\x00b", "日本 x 日本", "\n\n", "b" * 5000]
+    rng = random.Random(3)
+    made += ["".join(rng.choice("aB \n\tЖé日") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for chosen in (made, made[:1], made[-1:], made[:3]):
+        raw = [t.encode() for t in chosen]
+        distinct, words, of, kinds, sizes = lm.tokens_of(raw)
+        assert distinct.to_pylist() == words and len(set(words)) == len(words)
+        plain = [t.lower().split() + [lm.END] for t in raw]
+        assert [words[i] for i in of.tolist()] == [w for ws in plain for w in ws] and sizes.tolist() == [len(ws) for ws in plain]
+        want = []
+        for ws in plain:
+            kind = 0
+            for w in ws:
+                want.append(kind)
+                kind = kind if w.isascii() else lm.kind_of(w)
+        assert kinds.tolist() == want
+
+
+def coded(words, slot_bits=16):
+    counts = Counter(words)
+    head = [w for w, c in counts.items() if c > 2]
+    return lm.Coder(head, [counts[w] for w in head], sum(c for c in counts.values() if c <= 2), slot_bits)
+
+
+def zipf_words(n, seed=5):
+    rng = np.random.default_rng(seed)
+    return [b"w%d" % min(x, 3000) if x % 3 else "ж{}".format(x % 700).encode() for x in rng.zipf(1.3, n).tolist()]
+
+
+def test_bits_of_a_run_lie_in_one_row():
+    """The bits of a code are in one row of slots for each RUN of them, have a slot each, and are the code's."""
+    words = zipf_words(3000)
+    coder = coded(words)
+    ids = coder.ids(words)
+    symbols = np.where(ids < 0, len(coder.rank), ids)
+    lengths, codes = coder.word_lengths[symbols], coder.word_codes[symbols]
+    at = 0
+    for which, begins, runs, phase in coder.parts(words, np.arange(len(words)), np.zeros(len(words), int), np.ones(len(words), bool)):
+        ends = np.append(begins, len(runs.bits))
+        for i in range(0 if phase else len(which)):
+            bits = "".join(map(str, runs.bits[ends[i] : ends[i + 1]]))
+            assert len(bits) == lengths[at] and int("1" + bits, 2) == codes[at]
+            at += 1
+        for k in range(lm.PREDICTORS):
+            slots = runs.slots(k)
+            assert 0 <= slots.min() and slots.max() < 1 << coder.slot_bits[k]
+            assert (np.bincount(runs.run) <= lm.RUN).all() and len(set(zip(runs.run.tolist(), (slots >> lm.RUN).tolist()))) == len(runs.symbol)
+            assert len(set(zip(runs.run.tolist(), slots.tolist()))) == len(slots)
+    assert at == len(words)
+
+
+def test_learning_a_block_is_that_of_single_bits():
+    """Counts, map and weights after blocks of bits are those of plain sums over the bits; each block is predicted by what came before."""
+    words = zipf_words(6000)
+    coder = coded(words)
+    tables = lambda: [np.zeros((1 << b, 2), np.float32) for b in coder.slot_bits]
+    got, want = lm.Mixer.of(tables()), lm.Mixer.of(tables())
+    squares, plain_squares = np.zeros(got.weights.shape), np.zeros(got.weights.shape)
+    first = np.arange(len(words)) % 50 == 0
+    for _, _, runs, phase in coder.parts(words, np.arange(len(words)), np.zeros(len(words), int), first):
+        got.learn(runs, phase, squares)
+        slots, bits = [runs.slots(k) for k in range(lm.PREDICTORS)], runs.bits
+        n = [c[s].astype(float) for c, s in zip(want.counts, slots)]
+        x = [np.log((v[:, 1] + 0.4) / (v[:, 0] + 0.4)) for v in n] + [np.ones(len(bits))]
+        level = [sum((v.sum(axis=1) > limit).astype(int) for limit in (0, 2, 11)) for v in n[-2:]]
+        gate = level[1] * 4 + level[0] + 16 * phase
+        z = np.clip(sum(w[gate] * v for w, v in zip(want.weights, x)), -14, 14)
+        cell = np.clip(np.rint(z * 2), -16, 16).astype(int) + 16 + gate * 33
+        np.add.at(want.ones, cell, bits)
+        np.add.at(want.total, cell, 1)
+        error = bits - 1 / (1 + np.exp(-z))
+        step = np.array([np.bincount(gate, error * v, 32) for v in x]) / np.maximum(np.bincount(gate, minlength=32), 1)
+        plain_squares += step * step
+        want.weights = (want.weights + 0.05 * step / np.sqrt(plain_squares + 1e-8)).astype(np.float32)
+        for c, s in zip(want.counts, slots):
+            np.add.at(c, (s, bits), 1)
+    assert all((a == b).all() for a, b in zip(got.counts, want.counts))
+    assert np.allclose(got.weights, want.weights, atol=1e-3) and abs(got.total - want.total).sum() < 1e-3 * want.total.sum()
+    # scoring sorts tokens by word; each has the score that it has by itself, among its neighbours
+    first[:2] = True
+    codes, spellings = got.token_logs(coder, words, np.zeros(len(words), int), first)
+    for i in [0, 1, 50, 51, 777, *np.flatnonzero(spellings)[:5].tolist()]:
+        a = max(j for j in range(i + 1) if first[j])
+        alone = got.token_logs(coder, words[a : i + 1], np.zeros(i + 1 - a, int), first[a : i + 1])
+        assert np.isclose(alone[0][-1], codes[i], atol=1e-5) and np.isclose(alone[1][-1], spellings[i], atol=1e-5)
+
+
 # --- suffix arrays ---
 
 
